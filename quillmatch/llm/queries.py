@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
 from quillmatch.llm.decontaminate import op9_decontaminate
+from quillmatch.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillmatch.llm.mixing import OP3_SQL, op3_mix_sources
 from quillmatch.llm.quality_rules import op7_quality_rules
 
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontaminate": op9_decontaminate,
 }
-ORACLES = {"op3_mix_sources": OP3_SQL}
+ORACLES = {"op3_mix_sources": OP3_SQL, "op4_line_dedup": OP4_SQL}
