@@ -3,11 +3,13 @@
 from quillmatch.llm.decontaminate import op9_decontaminate
 from quillmatch.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillmatch.llm.mixing import OP3_SQL, op3_mix_sources
+from quillmatch.llm.near_dup import op6_near_dedup
 from quillmatch.llm.quality_rules import op7_quality_rules
 
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_line_dedup": op4_line_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontaminate": op9_decontaminate,
 }
