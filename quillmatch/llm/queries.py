@@ -5,8 +5,10 @@ from quillmatch.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillmatch.llm.mixing import OP3_SQL, op3_mix_sources
 from quillmatch.llm.near_dup import op6_near_dedup
 from quillmatch.llm.quality_rules import op7_quality_rules
+from quillmatch.llm.substring import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_line_dedup": op4_line_dedup,
     "op6_near_dedup": op6_near_dedup,
