@@ -6,11 +6,15 @@ from quillmatch.llm.mixing import OP3_SQL, op3_mix_sources
 from quillmatch.llm.near_dup import op6_near_dedup
 from quillmatch.llm.quality_rules import op7_quality_rules
 from quillmatch.llm.substring import op1_substring_dedup
+from quillmatch.llm.token_counts import op2_token_counts
+from quillmatch.llm.url_filter import op5_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op4_line_dedup": op4_line_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontaminate": op9_decontaminate,
