@@ -147,13 +147,14 @@ def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((acc[end] - acc[start]) * q[start], 7)
 
 
-def gram(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and rows of the n-grams of consecutive items of a row."""
+def gram(h: np.ndarray, row: np.ndarray, n: int, tag: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of consecutive items of a row, and the row (or the tag) of the first."""
+    tag = row if tag is None else tag
     if len(h) < n:
-        return h[:0], row[:0]
+        return h[:0], tag[:0]
     m = len(h) - n + 1
     out = h[:m]
     for k in range(1, n):
         out = mix(out * _U(0xD6E8FEB86659FD93) + h[k : k + m])
     same = row[:m] == row[n - 1 :]
-    return out[same], row[:m][same]
+    return out[same], tag[:m][same]
