@@ -1 +1 @@
-"""Fuzzy retrieval over segment collections as DataFrame plans."""
+"""A PySpark engine for fuzzy retrieval over large collections of text segments."""
