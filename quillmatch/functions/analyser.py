@@ -121,11 +121,12 @@ def analyse(df: DataFrame, how: Analysis, text: str = "text") -> DataFrame:
 
 def nfc(df: DataFrame, column: str) -> DataFrame:
     """df with the column in normal form C; all other columns as they are."""
-    at = df.columns.index(column)
+    names = df.columns
+    at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(b.columns)], names=df.columns)
+            yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(b.columns)], names=names)
 
     return df.mapInArrow(run, df.schema)
