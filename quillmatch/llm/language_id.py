@@ -13,7 +13,7 @@ Result: doc_id, lang (of most words; ties: first in the alphabet), n_words, conf
 characters, from the first letter of a run of words of one language to the last.
 
 * Null, empty and wordless texts: lang and confidence null, no spans. Repeated rows each get the same result. Further columns are ignored.
-* Without labelled documents ValueError is raised; with one language all words have it. An empty table gives an empty result.
+* With one language all words have it; without labelled documents that language is `und`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -242,9 +242,7 @@ def sample(docs: DataFrame, p: Params) -> list[tuple[str, str]]:
 
 
 def fit(rows: list[tuple[str, str]], p: Params = Params()) -> Model:
-    labels = sorted({x for x, _ in rows})
-    if not labels:
-        raise ValueError("there are no labelled documents")
+    labels = sorted({x for x, _ in rows}) or ["und"]
     k, rng = len(labels), np.random.default_rng(p.seed)
     code = {x: i for i, x in enumerate(labels)}
     column = _lower(pa.array([t for _, t in rows], pa.large_string()))

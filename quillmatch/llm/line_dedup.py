@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmatch.llm.common import Scratch, read_table
+from quillmatch.llm.common import read_table, Scratch
 
 KEY = ["d", "th"]
 LAST = 9223372036854775807

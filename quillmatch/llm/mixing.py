@@ -13,7 +13,7 @@ The mix lasts until each block of each source has been out once; sources that ar
   Quotas are ceil(resolution * weight); sources with no or zero weight are left out.
 * Nulls: a null source counts as ''; a null text has size 0; a null doc_id sorts as ''.
 * Ties and repeated rows: rows of one source with equal doc_id are ordered by size, and each is in the mix as itself.
-* Further columns pass through mix(); new columns whose names are taken by existing ones raise ValueError.
+* Further columns pass through mix(), but for those named like one of the new columns (in any case), which are replaced. Without rows the result is empty.
 """
 
 from __future__ import annotations
@@ -62,8 +62,7 @@ def schedule(q: dict[str, int]) -> dict[str, list[int]]:
 
 def mix(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Each row of docs once for every time it is in the mix, with epoch, slot, block and block_offset; the order of the mix is (slot, block_offset, doc_id)."""
-    if clash := set(ADDED) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
     spark = docs.sparkSession
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("src"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), F.md5(ids).alias("order")).withColumn("part", F.substring("order", 1, 3))

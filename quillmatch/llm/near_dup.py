@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import Scratch, read_table
+from quillmatch.llm.common import read_table, Scratch
 from quillmatch.llm.components import components
 from quillmatch.llm.simhash import BITS, fingerprints
 

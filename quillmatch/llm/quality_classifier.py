@@ -11,7 +11,8 @@ Result: doc_id, score (probability of good quality), keep (score >= threshold),
 
 * Null, empty and blank texts have no passages: score, top_passage and top_weight null, keep false.
 * Repeated rows each get the same score. Further columns are ignored.
-* If the labels are all of one class the score is that class's for every document with a passage; without labelled documents ValueError is raised.
+* If the labels are all of one class the score is that class's for every document with a passage; without labelled documents it is 0.5, and
+  they are kept.
 """
 
 from __future__ import annotations
@@ -122,7 +123,8 @@ def fit_texts(good: list[str], bad: list[str], p: Params = Params()) -> dict[str
             bags.append((label, len(row), [(f.astype(np.int32), g.astype(np.int32)) for f, g in parts]))
     labels = np.array([b[0] for b in bags])
     if not len(bags):
-        raise ValueError("there are no labelled documents")
+        m["c"][:] = 0
+        return m
     if labels.min() == labels.max():
         m["c"][:] = 0
         m["c0"][:] = 20 if labels[0] else -20

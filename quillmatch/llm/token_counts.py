@@ -181,13 +181,14 @@ def token_trees(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def recount(trees: DataFrame, edits: Column | Callable[[str], list[dict]], p: Params = Params()) -> DataFrame:
     """doc_id, n_tokens, n_tokens_after, n_edits, n_encoded, tree (after) of every row; `edits` is an array of (start, end, replacement), or a function that makes such from the text."""
     shared = trees.sparkSession.sparkContext.broadcast(read_vocabulary(p))
+    make = None if isinstance(edits, Column) else edits
 
     def run(batches):
         c = counter(shared.value, p.pattern)
         for b in batches:
             before, done, encoded, after = [], [], [], []
-            made = (lambda b: map(edits, utf8(b.column("text")).to_pylist())) if not isinstance(edits, Column) else (lambda b: b.column("edits").to_pylist())
-            for text, leaves, tree, todo in zip(b.column("text").to_pylist(), b.column("leaves"), b.column("tree"), made(b)):
+            todos = map(make, utf8(b.column("text")).to_pylist()) if make else b.column("edits").to_pylist()
+            for text, leaves, tree, todo in zip(b.column("text").to_pylist(), b.column("leaves"), b.column("tree"), todos):
                 tree = tree.values.to_numpy().astype(np.int64)
                 before.append(tree[1])
                 d = e = 0
@@ -201,13 +202,13 @@ def recount(trees: DataFrame, edits: Column | Callable[[str], list[dict]], p: Pa
                 ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_encoded", "tree"],
             )
 
-    own = [] if not isinstance(edits, Column) else [edits.alias("edits")]
+    own = [] if make else [edits.alias("edits")]
     return trees.select("doc_id", "text", "leaves", "tree", *own).mapInArrow(run, "doc_id long, n_tokens long, n_tokens_after long, n_edits int, n_encoded long, tree array<int>")
 
 
 def attach_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
     """trees with a column `edits`, gathered by doc_id from rows (doc_id, start, end, replacement)."""
-    own = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"), "replacement")).alias("edits"))
+    own = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "replacement")).alias("edits"))
     return trees.join(own, "doc_id", "left")
 
 

@@ -4,7 +4,7 @@ The host (without user and port) and the rest of the URL are lower-cased, put be
 length 1. The model is trained to convergence on the driver, from a small table of labelled URLs of which at most `max_rows` count, lowest MD5 first.
 
 * A null or empty URL has no features: score null, keep false.
-* Repeated rows each get the same score. A URL labelled both ways counts both ways. Without rows of both labels ValueError is raised.
+* Repeated rows each get the same score. A URL labelled both ways counts both ways. Without rows of both labels only the prior counts, and every URL is kept.
 * Further columns are ignored.
 """
 
@@ -60,7 +60,7 @@ def fit(urls: list[str], labels: list[int], p: Params = Params()) -> np.ndarray:
     """Weights of the buckets, and last the fixed intercept `prior`, with which a URL of unknown n-grams is kept, by accelerated gradient steps; both labels weigh the same."""
     y = np.array(labels, float)
     if len(set(labels)) < 2:
-        raise ValueError("labels of both kinds are needed")
+        return np.append(np.zeros(p.buckets), p.prior)
     at, row, x = features(pa.array(urls, pa.large_string()), p.buckets)
     each = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w = np.zeros(p.buckets + 1)
