@@ -6,15 +6,18 @@ empty one everywhere in this subpackage, unless an operator says otherwise.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 _U = np.uint64
 
 
@@ -27,10 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES, however long the texts are, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.conf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        return
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of Arrow batches that gives its memory back at the end of the task: idle workers are kept for later tasks."""
+
+    @functools.wraps(run)
+    def outer(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return outer
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive a lost executor."""
 
     def __init__(self, spark: SparkSession):
+        bounded_batches(spark)
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/quillmatch-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -51,6 +83,7 @@ class Scratch:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

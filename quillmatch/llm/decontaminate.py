@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import read_table, texts
+from quillmatch.llm.common import read_table, texts, tidy
 
 
 @dataclass(frozen=True)
@@ -145,6 +145,7 @@ def _find(docs: DataFrame, table: dict[str, list[int]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
     key = f"{id(shared)}-{hash(frozenset(table))}"
 
+    @tidy
     def run(batches):
         s = _scanner(key, shared.value)
         for b in batches:
@@ -167,6 +168,7 @@ def keep_documents(docs: DataFrame, benchmark: DataFrame, p: Params = Params())
         shared = docs.sparkSession.sparkContext.broadcast(table)
         key = f"{id(shared)}-{hash(frozenset(table))}"
 
+        @tidy
         def run(batches, key=key, shared=shared):
             s = _scanner(key, shared.value)
             for b in batches:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import _TABLE, CLASS, mix, read_table, runs, span_hash, texts, utf8
+from quillmatch.llm.common import _TABLE, CLASS, mix, read_table, runs, span_hash, texts, tidy, utf8
 
 _U = np.uint64
 WORD = (CLASS == 1).astype(np.uint8)
@@ -204,6 +204,7 @@ def label(column: pa.Array, m: Model):
 def identify(docs: DataFrame, m: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
+    @tidy
     def run(batches):
         m = shared.value
         names, k = pa.array(m.labels, pa.string()), len(m.labels)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmatch.llm.common import read_table, Scratch
+from quillmatch.llm.common import read_table, Scratch, tidy
 
 KEY = ["d", "th"]
 LAST = 9223372036854775807
@@ -116,6 +116,7 @@ def keep_lines(docs: DataFrame, scratch: Scratch, p: Params = Params()) -> DataF
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     schema = T.StructType([T.StructField("row", kinds), T.StructField("n_removed", T.IntegerType()), T.StructField("n_left", T.IntegerType())])
 
+    @tidy
     def run(batches):
         for b in batches:
             row, found = b.column("row"), b.column("runs")

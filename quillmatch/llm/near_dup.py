@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import read_table, Scratch
+from quillmatch.llm.common import read_table, Scratch, tidy
 from quillmatch.llm.components import components
 from quillmatch.llm.simhash import BITS, fingerprints
 
@@ -138,6 +138,7 @@ def forest(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """d, th, hi, lo of every document that has words."""
 
+    @tidy
     def run(batches):
         for b in batches:
             fp, some = fingerprints(b.column("text"))
@@ -152,6 +153,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 def links(points: DataFrame, how: Plan, p: Params) -> DataFrame:
     """points (hi, lo), distinct -> u, v: links that connect all pairs found within the distance."""
 
+    @tidy
     def spread(batches):
         for b in batches:
             x = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in ("hi", "lo")], axis=1)
@@ -160,6 +162,7 @@ def links(points: DataFrame, how: Plan, p: Params) -> DataFrame:
                 at, where = lists(np.ascontiguousarray(part).view(np.uint64), how, p)
                 yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(part[at, 0]), pa.array(part[at, 1])], ["list", "hi", "lo"])
 
+    @tidy
     def search(batches):
         def found(x):
             a, b = forest(np.ascontiguousarray(x).view(np.uint64), p.distance)

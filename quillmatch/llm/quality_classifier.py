@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import read_table, texts
+from quillmatch.llm.common import read_table, texts, tidy
 from quillmatch.llm.quality_rules import Params as RuleParams
 from quillmatch.llm.quality_rules import labelled_ids, token_features
 
@@ -168,6 +168,7 @@ def predict(column: pa.Array, m: dict[str, np.ndarray], p: Params = Params()):
 def score(docs: DataFrame, m: dict[str, np.ndarray], p: Params = Params()) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
+    @tidy
     def run(batches):
         for b in batches:
             s, n, top, w = predict(b.column("text"), shared.value, p)

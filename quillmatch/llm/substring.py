@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import _powers, gram, mix, read_table, runs, span_hash, texts
+from quillmatch.llm.common import _powers, gram, mix, read_table, runs, span_hash, texts, tidy
 
 LAST = 9223372036854775807
 _U = np.uint64
@@ -80,6 +80,7 @@ def _slices(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.LargeBinaryAr
 
 
 def _emit(p: Params):
+    @tidy
     def run(batches):
         for b in batches:
             d, th = b.column("d").to_numpy(zero_copy_only=False), b.column("th").to_numpy(zero_copy_only=False)
@@ -145,6 +146,7 @@ def repeats(t: pa.Table, k: int) -> pa.RecordBatch | None:
 
 
 def _sort_buckets(p: Params):
+    @tidy
     def run(batches):
         held: list[pa.RecordBatch] = []
         for b in batches:

@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import read_table, utf8
+from quillmatch.llm.common import read_table, tidy, utf8
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EDITS = "array<struct<start: int, end: int, replacement: string>>"
@@ -167,6 +167,7 @@ def token_trees(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, text, leaves, tree of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(p))
 
+    @tidy
     def run(batches):
         c = counter(shared.value, p.pattern)
         for b in batches:
@@ -183,6 +184,7 @@ def recount(trees: DataFrame, edits: Column | Callable[[str], list[dict]], p: Pa
     shared = trees.sparkSession.sparkContext.broadcast(read_vocabulary(p))
     make = None if isinstance(edits, Column) else edits
 
+    @tidy
     def run(batches):
         c = counter(shared.value, p.pattern)
         for b in batches:

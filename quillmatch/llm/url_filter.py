@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import _TABLE, gram, mix, read_table, texts, utf8
+from quillmatch.llm.common import _TABLE, gram, mix, read_table, texts, tidy, utf8
 from quillmatch.llm.url_labels import LABELLED
 
 _U = np.uint64
@@ -86,6 +86,7 @@ def score_urls(pages: DataFrame, w: np.ndarray, p: Params = Params()) -> DataFra
     """page_id, url, score, keep of every row."""
     shared = pages.sparkSession.sparkContext.broadcast(w)
 
+    @tidy
     def run(batches):
         for b in batches:
             s, n = predict(b.column("url"), shared.value)
