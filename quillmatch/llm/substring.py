@@ -4,6 +4,7 @@ The minimiser of a window is the least hash among its runs of `minimiser` words.
 minimiser travel as one packed string, the stretch of text that they span, to the bucket of that minimiser; equal windows
 have equal minimisers and meet there. In a bucket the windows are put in order of a 128-bit hash of their words, which counts
 them; of equal windows the one first in (doc_id, position) is the original and the others are copies. A minimiser met in one place only needs no sorting.
+A bucket of more than `bucket_bytes` is not held in memory: the hashes of its windows go on to a Spark aggregation, which spills, with the same result.
 
 The result has a row for each maximal span covered by windows of one kind: doc_id, start, end (in characters), n_words, is_copy.
 Deleting the spans with is_copy leaves every repeated window in the corpus once.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import _powers, gram, mix, read_table, runs, span_hash, texts, tidy
+from quillmatch.llm.common import Scratch, _powers, gram, mix, read_table, runs, span_hash, texts, tidy
 
 LAST = 9223372036854775807
 _U = np.uint64
@@ -34,6 +35,7 @@ _U = np.uint64
 class Params:
     window: int = 50
     minimiser: int = 4
+    bucket_bytes: int = 32 << 20
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -95,20 +97,17 @@ def _emit(p: Params):
     return run
 
 
-def repeats(t: pa.Table, k: int) -> pa.RecordBatch | None:
-    """Runs of repeated windows in whole buckets that are ordered by bucket, d, th, w0."""
-    col = {c: t.column(c).to_numpy() for c in ("bucket", "d", "th", "w0", "c0", "multi")}
-    n = t.num_rows
-    again = np.zeros(n, bool)
-    again[1:] = np.logical_and.reduce([col[c][1:] == col[c][:-1] for c in ("bucket", "d", "th", "w0")])
-    t, col = (t.filter(pa.array(~again)), {c: v[~again] for c, v in col.items()}) if again.any() else (t, col)
-    cut = np.r_[True, col["bucket"][1:] != col["bucket"][:-1]]
-    group = np.cumsum(cut) - 1
-    busy = (np.bincount(group)[group] > 1) | col["multi"].astype(bool)
-    if not busy.any():
-        return None
-    col = {c: v[busy] for c, v in col.items()}
-    packed = t.column("packed").filter(pa.array(busy)).combine_chunks().cast(pa.large_binary())
+def _once(t: pa.Table) -> pa.Table:
+    """Rows in order without those that follow an equal one."""
+    again = np.zeros(t.num_rows, bool)
+    again[1:] = np.logical_and.reduce([(x := t.column(c).to_numpy())[1:] == x[:-1] for c in ("bucket", "d", "th", "w0")])
+    return t.filter(pa.array(~again)) if again.any() else t
+
+
+def windows(t: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the packed strings: first word and row of each window, its two hashes, and for each word its number in the document, and its characters from and to."""
+    packed = t.column("packed").combine_chunks()
+    packed = (packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed).cast(pa.large_binary())
     offs = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
     buf = np.frombuffer(packed.buffers()[2], np.uint8)[offs[0] : offs[-1]]
     offs = offs - offs[0]
@@ -121,8 +120,29 @@ def repeats(t: pa.Table, k: int) -> pa.RecordBatch | None:
         acc = np.zeros(m + 1, _U)
         np.cumsum(mix(h, seed) * up[:m], out=acc[1:])
         ids.append(mix((acc[at + k] - acc[at]) * down[at], seed))
+    chars = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
+    word = np.arange(m) - np.searchsorted(row, row) + t.column("w0").to_numpy().astype(np.int64)[row]
+    base = (t.column("c0").to_numpy().astype(np.int64) - chars[offs[:-1]])[row]
+    return at, row[at], ids, word, base + chars[start], base + chars[end]
+
+
+NAMES = ["d", "th", "is_copy", "wa", "wb", "start", "end", "h1", "h2"]
+PIECES = "d long, th long, is_copy boolean, wa long, wb long, start long, end long, h1 long, h2 long"
+
+
+def repeats(t: pa.Table, k: int) -> pa.RecordBatch | None:
+    """Runs of repeated windows in whole buckets that are ordered by bucket, d, th, w0."""
+    t = _once(t)
+    bucket = t.column("bucket").to_numpy()
+    group = np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]]) - 1
+    busy = (np.bincount(group)[group] > 1) | t.column("multi").to_numpy().astype(bool)
+    if not busy.any():
+        return None
+    t, group = t.filter(pa.array(busy)), group[busy]
+    at, row, ids, word, start, end = windows(t, k)
     order = np.argsort(ids[0], kind="stable")
-    a, b, g = ids[0][order], ids[1][order], group[busy][row[at]][order]
+    a, b, g = ids[0][order], ids[1][order], group[row][order]
     same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (g[1:] == g[:-1])
     kind = np.zeros(len(at), np.int8)
     kind[order[1:][same]] = 2
@@ -131,45 +151,71 @@ def repeats(t: pa.Table, k: int) -> pa.RecordBatch | None:
     live = np.flatnonzero(kind)
     if not len(live):
         return None
-    w, kd, r = at[live], kind[live], row[at[live]]
+    w, kd, r = at[live], kind[live], row[live]
     cut = np.ones(len(live), bool)
     cut[1:] = (w[1:] != w[:-1] + 1) | (kd[1:] != kd[:-1]) | (r[1:] != r[:-1])
     i = np.flatnonzero(cut)
-    j = np.append(i[1:], len(live)) - 1
-    chars = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
-    r = r[i]
-    head = np.searchsorted(row, r)
-    base = col["c0"][r].astype(np.int64) - chars[offs[r]]
-    word = col["w0"][r].astype(np.int64) - head
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (col["d"][r], col["th"][r], kd[i] == 2, w[i] + word, w[j] + k + word, base + chars[start[w[i]]], base + chars[end[w[j] + k - 1]])], ["d", "th", "is_copy", "wa", "wb", "start", "end"])
+    last = w[np.append(i[1:], len(live)) - 1] + k - 1
+    i, r = w[i], r[i]
+    kd = kd[np.flatnonzero(cut)]
+    none = pa.nulls(len(i), pa.int64())
+    cols = [t.column("d").to_numpy()[r], t.column("th").to_numpy()[r], kd == 2, word[i], word[last] + 1, start[i], end[last]]
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), none, none], NAMES)
+
+
+def loose(t: pa.Table, k: int) -> pa.RecordBatch:
+    """Every window of a part of a bucket, with its hashes."""
+    at, row, ids, word, start, end = windows(t, k)
+    cols = [t.column("d").to_numpy()[row], t.column("th").to_numpy()[row], word[at], word[at] + k, start[at], end[at + k - 1], *(x.view(np.int64) for x in ids)]
+    cols = [pa.array(x) for x in cols]
+    return pa.RecordBatch.from_arrays([*cols[:2], pa.nulls(len(at), pa.bool_()), *cols[2:]], NAMES)
 
 
 def _sort_buckets(p: Params):
     @tidy
     def run(batches):
         held: list[pa.RecordBatch] = []
+        size, large = 0, None  # large: the bucket that is too large to be held
         for b in batches:
             if not b.num_rows:
                 continue
             at = b.column("bucket").to_numpy(zero_copy_only=False)
-            split = int(np.searchsorted(at, at[-1]))  # where the last bucket begins
+            if large is not None:
+                rest = int(np.searchsorted(at != large, True)) if at[0] == large else 0
+                if rest:
+                    yield loose(pa.Table.from_batches([b.slice(0, rest)]), p.window)
+                if rest == len(at):
+                    continue
+                b, at, large = b.slice(rest), at[rest:], None
+            split = int(np.flatnonzero(np.r_[True, at[1:] != at[:-1]])[-1])  # where the last bucket begins
             if split or (held and held[-1].column("bucket")[-1].as_py() != at[0]):
                 done = pa.Table.from_batches([*held, b.slice(0, split)])
-                held = []
+                held, size = [], 0
                 if done.num_rows and (out := repeats(done, p.window)):
                     yield out
             held.append(b.slice(split))
+            size += sum(c.nbytes for c in held[-1].columns)
+            if size > p.bucket_bytes:
+                yield loose(pa.Table.from_batches(held), p.window)
+                held, size, large = [], 0, at[-1]
         if held and (out := repeats(pa.Table.from_batches(held), p.window)):
             yield out
 
     return run
 
 
-def repeated_spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
+def counted(windows: DataFrame) -> DataFrame:
+    """Windows (with h1, h2) that occur more than once; all but the first are copies."""
+    place = F.struct("d", "th", "wa")
+    groups = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    return windows.distinct().join(groups, ["h1", "h2"]).withColumn("is_copy", place != F.col("first")).select(*NAMES)
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, p: Params = Params()) -> DataFrame:
     keys = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("th"), "text")
     sent = keys.mapInArrow(_emit(p), "bucket long, d long, th long, w0 int, c0 int, multi boolean, packed binary").repartition("bucket").sortWithinPartitions("bucket", "d", "th", "w0")
-    pieces = sent.mapInArrow(_sort_buckets(p), "d long, th long, is_copy boolean, wa long, wb long, start long, end long")
+    found = scratch.keep(sent.mapInArrow(_sort_buckets(p), PIECES))
+    pieces = found.where("h1 is null").unionByName(counted(found.where("h1 is not null")))
     own = Window.partitionBy("d", "th", "is_copy").orderBy("wa", "wb")
     reach = F.max("wb").over(own.rowsBetween(Window.unboundedPreceding, -1))
     spans = pieces.withColumn("new", F.when(F.col("wa") <= reach, 0).otherwise(1)).withColumn("span", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
@@ -178,4 +224,4 @@ def repeated_spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(read_table(spark, sf_dir, "documents"))
+    return repeated_spans(read_table(spark, sf_dir, "documents"), Scratch(spark))

@@ -45,12 +45,12 @@ def same_columns(a, b):
     return a.columns == b.columns and a.dtypes == b.dtypes
 
 
-def test_substring(docs, none):
-    found = ss.repeated_spans(docs).collect()
+def test_substring(spark, docs, none):
+    found = ss.repeated_spans(docs, Scratch(spark)).collect()
     own = {(r["doc_id"], r["n_words"], r["is_copy"]) for r in found if r["doc_id"] in (7, 8)}
     assert own == {(7, 70, False), (8, 70, True)}
     assert not [r for r in found if r["doc_id"] in (1, 2, 3, 4, 5, 10, None)]
-    assert ss.repeated_spans(none).count() == 0
+    assert ss.repeated_spans(none, Scratch(spark)).count() == 0
 
 
 def test_token_counts(docs, none):

@@ -61,8 +61,8 @@ def brute_spans(docs, k):
     return out
 
 
-@pytest.mark.parametrize("window,minimiser", [(5, 2), (12, 4)])
-def test_substring(spark, window, minimiser):
+@pytest.mark.parametrize("window,minimiser,bucket_bytes", [(5, 2, 1 << 25), (12, 4, 1 << 25), (5, 2, 500), (12, 4, 0)])
+def test_substring(spark, window, minimiser, bucket_bytes):
     rng = random.Random(window)
     passage = words(rng, 40, 500)
     docs = []
@@ -74,7 +74,10 @@ def test_substring(spark, window, minimiser):
         if i % 7 == 0:
             w += w[: rng.randrange(len(w) + 1)]
         docs.append((i, "  ".join(w) if i % 2 else "\n".join(w).replace("w1", "é1")))
-    rows = ss.repeated_spans(spark.createDataFrame(docs, DOCS), ss.Params(window, minimiser)).collect()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "7")  # so that buckets go on from batch to batch
+    rows = ss.repeated_spans(spark.createDataFrame(docs, DOCS), Scratch(spark), ss.Params(window, minimiser, bucket_bytes)).collect()
+    spark.conf.unset(key)
     texts, got = dict(docs), set()
     for r in rows:
         text = texts[r["doc_id"]]
@@ -87,7 +90,7 @@ def test_substring(spark, window, minimiser):
 
 def test_substring_repeats_in_one_minimiser(spark):
     """A text of one word repeats itself in every window but the first."""
-    rows = ss.repeated_spans(spark.createDataFrame([(1, "x " * 9)], DOCS), ss.Params(4, 2)).collect()
+    rows = ss.repeated_spans(spark.createDataFrame([(1, "x " * 9)], DOCS), Scratch(spark), ss.Params(4, 2)).collect()
     assert {(r["n_words"], r["is_copy"]) for r in rows} == {(4, False), (8, True)}
 
 
