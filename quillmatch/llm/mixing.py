@@ -65,7 +65,7 @@ def mix(docs: DataFrame, p: Params = Params()) -> DataFrame:
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
     spark = docs.sparkSession
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("src"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), F.md5(ids).alias("order")).withColumn("part", F.substring("order", 1, 3))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("src"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), F.md5(ids).alias("order")).withColumn("part", F.substring("order", 1, 4))
     sums = rows.groupBy("src", "part").agg(F.sum("size").alias("chars"))
     sizes = {r[0]: r[1] for r in sums.groupBy("src").agg(F.sum("chars")).collect()}
     q = quotas(sizes, p)
