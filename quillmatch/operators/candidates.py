@@ -55,7 +55,7 @@ def islands(codes: Column, k: Column) -> Column:
 def longest_runs(queries: DataFrame, forms: DataFrame, broadcast_grams: int = 1_000_000, near: Column | None = None) -> DataFrame:
     """q_id, form, run: the longest common run of each pair, where it counts."""
     found = hits(queries, forms, broadcast_grams, near)
-    runs = found.select("q_id", "form", F.array_max(F.transform(islands(F.col("codes"), F.col("k")), lambda x: x["length"])).alias("longest"))
+    runs = found.select("q_id", "form", F.coalesce(F.array_max(F.transform(islands(F.col("codes"), F.col("k")), lambda x: x["length"])), F.lit(0)).alias("longest"))
     return runs.join(queries.select("q_id", "run"), "q_id").where("longest >= run").select("q_id", "form", F.col("longest").alias("run"))
 
 
