@@ -67,22 +67,34 @@ _SCORE = """,
 scored AS (SELECT *, CAST(trunc(CAST(10000 AS FLOAT) - cost * CAST(100 AS FLOAT)) / 10000.0 AS FLOAT) AS score FROM cost)"""
 
 
-def _dp(ins: float, dele: float, rep: float) -> str:
-    """The recurrence as a list fold, row by row."""
+def _dp(ins: float, dele: float, rep: float, idf: float = 0.0) -> str:
+    """The recurrence as a list fold, row by row. With idf, a query token that is missing costs x[j] more."""
     n, _ = _near(0, ins, dele, rep)
+    more = lambda cost: f"CAST({cost} + x[j] AS FLOAT)" if idf else cost
+    x = ""
+    if idf:
+        x = f""",
+big AS (SELECT count(*)::DOUBLE AS n_seg FROM seg),
+qw AS (SELECT q_id, unnest(qn) AS word, unnest(range(1, p + 1)) AS i FROM q),
+idfs AS (SELECT q_id, list(CASE WHEN sfreq > 0 THEN CAST(ln(n_seg / sfreq) AS FLOAT) ELSE CAST(0 AS FLOAT) END ORDER BY i) AS idf FROM qw LEFT JOIN vocab USING (word), big GROUP BY q_id)"""
+    own = f"list_transform(idf, lambda v: CAST(v * CAST(CAST(dw * CAST({idf} AS FLOAT) AS FLOAT) / CAST(ln(n_seg) AS FLOAT) AS FLOAT) AS FLOAT)) AS x, " if idf else ""
+    return x + f""",
+dw AS (SELECT *, CAST(CAST(100 AS FLOAT) / {n} AS FLOAT) AS dw FROM pair{' JOIN idfs USING (q_id), big' if idf else ''}),
+w AS (SELECT *, {own}CAST({ins} AS FLOAT) * dw AS wi, CAST({dele} AS FLOAT) * dw AS wd, CAST({rep} AS FLOAT) * dw AS wr FROM dw),
+first AS (SELECT *, list_reduce(range(1, p + 1), lambda a, j: list_append(a, {more("CAST(a[-1] + wi AS FLOAT)")}), [CAST(0 AS FLOAT)]) AS row0 FROM w),
+cost AS (SELECT *, list_reduce(norm, lambda row, tok: list_reduce(range(1, p + 1), lambda a, j: list_append(a, least(CAST(row[j + 1] + wd AS FLOAT), {more("CAST(a[-1] + wi AS FLOAT)")}, CAST(row[j] + (CASE WHEN qn[j] = tok THEN CAST(0 AS FLOAT) ELSE {more("wr")} END) AS FLOAT))), [CAST(row[1] + wd AS FLOAT)]), row0)[-1] AS cost FROM first)"""
+
+
+def _ranked(fuzzy: float, more: str = "true") -> str:
     return f""",
-dw AS (SELECT *, CAST(CAST(100 AS FLOAT) / {n} AS FLOAT) AS dw FROM pair),
-w AS (SELECT *, CAST({ins} AS FLOAT) * dw AS wi, CAST({dele} AS FLOAT) * dw AS wd, CAST({rep} AS FLOAT) * dw AS wr FROM dw),
-first AS (SELECT *, list_reduce(range(1, p + 1), lambda a, j: list_append(a, CAST(a[-1] + wi AS FLOAT)), [CAST(0 AS FLOAT)]) AS row0 FROM w),
-cost AS (SELECT *, list_reduce(norm, lambda row, tok: list_reduce(range(1, p + 1), lambda a, j: list_append(a, least(CAST(row[j + 1] + wd AS FLOAT), CAST(a[-1] + wi AS FLOAT), CAST(row[j] + (CASE WHEN qn[j] = tok THEN CAST(0 AS FLOAT) ELSE wr END) AS FLOAT))), [CAST(row[1] + wd AS FLOAT)]), row0)[-1] AS cost FROM first)"""
+hits AS (SELECT q_id, form, score, run, len FROM scored WHERE score >= CAST({fuzzy} AS FLOAT) AND {more}),
+each AS (SELECT q_id, score, run AS max_subseq, s_id, id, hits.len AS length FROM hits JOIN form USING (form) JOIN seg ON seg.norm = form.norm),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, s_id) AS rank FROM each)"""
 
 
 def _top(fuzzy: float, n: int, more: str = "true") -> str:
     keep = f"WHERE rank <= {n}" if n else ""
-    return f""",
-hits AS (SELECT q_id, form, score, run, len FROM scored WHERE score >= CAST({fuzzy} AS FLOAT) AND {more}),
-each AS (SELECT q_id, score, run AS max_subseq, s_id, id, hits.len AS length FROM hits JOIN form USING (form) JOIN seg ON seg.norm = form.norm),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, s_id) AS rank FROM each)
+    return _ranked(fuzzy, more) + f"""
 SELECT q_id, rank::INTEGER AS rank, round(CAST(score AS DOUBLE), 4) AS score, max_subseq, s_id, id, length::INTEGER AS length FROM ranked {keep}"""
 
 
@@ -140,14 +152,33 @@ SELECT q_id, (i - 1)::INTEGER AS q_pos, n AS n_suffixes FROM qg JOIN sg USING (g
     "match_turns": "WITH " + SEGMENTS + _queries(0.1, 3, "SELECT conv_id * 1000 + turn AS q_id, text FROM conversations") + _pairs(0.25) + _dp(1, 1, 1) + _SCORE + _top(0.25, 5),
 }
 ORACLES["stream_match"] = ORACLES["match_top5"]
-_SUB = "WITH " + VOCAB + _queries() + _runs() + """,
-spans AS (SELECT q_id, form, d, k, i0, (c + k - 1) AS size FROM (SELECT q_id, form, d, k, min(i) AS i0, count(*) AS c FROM (SELECT *, i - row_number() OVER (PARTITION BY q_id, form, d ORDER BY i) AS island FROM hit) GROUP BY q_id, form, d, k, island)),
-best AS (SELECT q_id, max({'size': size, 'back': -i0}) AS b FROM spans GROUP BY q_id),
+_LINE = "format('{:.9g}', CAST(score AS DOUBLE))"
+ORACLES["match_lines"] = _MATCH5 + _ranked(0.2) + f""",
+l AS (SELECT q_id, string_agg({_LINE} || chr(9) || id, chr(9) ORDER BY rank) AS line FROM ranked WHERE rank <= 5 GROUP BY q_id)
+SELECT item_id AS q_id, coalesce(line, '') AS line FROM benchmark LEFT JOIN l ON q_id = item_id"""
+ORACLES["match_idf"] = "WITH " + VOCAB + _queries() + _pairs(0.1) + _dp(1, 1, 1, 0.5) + _SCORE + _top(0.1, 5)
+
+
+def _subsequence(weight: str = "size::DOUBLE", keep: str = "true") -> str:
+    return "WITH " + VOCAB + _queries() + _runs() + f""",
+big AS (SELECT count(*)::DOUBLE AS n_seg FROM seg),
+qw AS (SELECT q_id, i, coalesce(CAST(CAST(ln(n_seg / nullif(sfreq, 0)) AS FLOAT) AS DOUBLE), 0) AS idf FROM (SELECT q_id, unnest(qn) AS word, unnest(range(1, p + 1)) AS i FROM q) LEFT JOIN vocab USING (word), big),
+cum AS (SELECT q_id, i, sum(idf) OVER (PARTITION BY q_id ORDER BY i) AS upto FROM qw UNION ALL SELECT q_id, 0, 0 FROM q),
+spans0 AS (SELECT q_id, form, d, k, i0, (c + k - 1) AS size FROM (SELECT q_id, form, d, k, min(i) AS i0, count(*) AS c FROM (SELECT *, i - row_number() OVER (PARTITION BY q_id, form, d ORDER BY i) AS island FROM hit) GROUP BY q_id, form, d, k, island)),
+spans AS (SELECT s.q_id, s.form, s.d, s.i0, s.size, {weight} AS weight FROM spans0 s JOIN q ON q.q_id = s.q_id JOIN form ON form.form = s.form JOIN cum a ON a.q_id = s.q_id AND a.i = s.i0 - 1 JOIN cum b ON b.q_id = s.q_id AND b.i = s.i0 + s.size - 1 WHERE {keep}),
+best AS (SELECT q_id, max({{'weight': weight, 'back': -i0, 'size': size}}) AS b FROM spans GROUP BY q_id),
 inside AS (SELECT s.q_id, s.form, -b.back AS head, b.size AS size, -b.back + s.d AS f FROM spans s JOIN best USING (q_id) WHERE s.i0 <= -b.back AND s.i0 + s.size >= b.size - b.back),
 words AS (SELECT q_id, form, head, size, f, unnest(norm[f:]) AS word, unnest(range(f, len + 1)) AS pos FROM inside JOIN form USING (form)),
 tails AS (SELECT q_id, form, head, size, min(tail) AS tail FROM (SELECT q_id, form, head, size, f, list(wid ORDER BY pos) AS tail FROM words JOIN vocab USING (word) GROUP BY ALL) GROUP BY ALL),
 tried AS (SELECT *, row_number() OVER z AS turn, coalesce(sum(n) OVER (PARTITION BY q_id ORDER BY tail, form ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM tails JOIN form USING (form) WINDOW z AS (PARTITION BY q_id ORDER BY tail, form)),
 pair AS (SELECT tried.*, qn, p FROM tried JOIN q USING (q_id) WHERE seen < 5)""" + _UNIT + _SCORE + """,
-won AS (SELECT q_id, min({'cost': cost, 'turn': turn, 'form': form, 'score': score, 'size': size, 'head': head}) AS w FROM scored GROUP BY q_id)
-SELECT won.q_id, round(CAST(w.score AS DOUBLE), 4) AS score, w.size::INTEGER AS max_subseq, s_id, id, array_to_string(qn[w.head : w.head + w.size - 1], ' ') AS span FROM won JOIN seg ON s_id = w.form JOIN q ON q.q_id = won.q_id"""
-ORACLES["subseq_best"] = _SUB
+won AS (SELECT q_id, min({'cost': cost, 'turn': turn, 'form': form, 'score': score, 'size': size, 'head': head}) AS w FROM scored GROUP BY q_id),
+sub AS (SELECT won.q_id, w.score AS score, w.size::INTEGER AS max_subseq, s_id, id, array_to_string(qn[w.head : w.head + w.size - 1], ' ') AS span FROM won JOIN seg ON s_id = w.form JOIN q ON q.q_id = won.q_id)"""
+
+
+_SHOWN = " SELECT q_id, round(CAST(score AS DOUBLE), 4) AS score, max_subseq, s_id, id, span FROM sub"
+ORACLES["subseq_best"] = _subsequence() + _SHOWN
+ORACLES["subseq_idf"] = _subsequence("round(b.upto - a.upto, 6)") + _SHOWN
+ORACLES["subseq_no_perfect"] = _subsequence(keep="norm <> qn") + _SHOWN
+ORACLES["subseq_lines"] = _subsequence() + f""", l AS (SELECT q_id, {_LINE} || chr(9) || max_subseq || chr(9) || id || chr(9) || span AS line FROM sub)
+SELECT item_id AS q_id, coalesce(line, '') AS line FROM benchmark LEFT JOIN l ON q_id = item_id"""
