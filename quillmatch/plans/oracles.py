@@ -182,3 +182,28 @@ ORACLES["subseq_idf"] = _subsequence("round(b.upto - a.upto, 6)") + _SHOWN
 ORACLES["subseq_no_perfect"] = _subsequence(keep="norm <> qn") + _SHOWN
 ORACLES["subseq_lines"] = _subsequence() + f""", l AS (SELECT q_id, {_LINE} || chr(9) || max_subseq || chr(9) || id || chr(9) || span AS line FROM sub)
 SELECT item_id AS q_id, coalesce(line, '') AS line FROM benchmark LEFT JOIN l ON q_id = item_id"""
+
+
+def _contrast(reduce: str) -> str:
+    """The first three picks, one after the other, from the 20 best of each query."""
+    f = lambda x: f"CAST({x} AS FLOAT)"
+    worth = lambda pen: f"{f('c.score')} - {f(0.7)} * {f(pen)}"
+    both = {"max": "greatest(x.sim, y.sim)", "mean": f"{f(f('x.sim') + ' + ' + f('y.sim'))} / {f(2)}"}[reduce]
+    return "WITH " + SEGMENTS + _queries() + _pairs(0.1) + _UNIT + _SCORE + _ranked(0.1) + f""",
+c AS (SELECT q_id, rank, score, ranked.s_id, norm, ranked.length AS len FROM ranked JOIN seg ON seg.s_id = ranked.s_id WHERE rank <= 20),
+two AS (SELECT a.q_id, a.rank AS r1, b.rank AS r2, a.norm AS n1, b.norm AS n2, greatest(a.len, b.len) AS m,
+  list_reduce(a.norm, lambda row, tok: list_reduce(range(1, b.len + 1), lambda l, j: list_append(l, least(row[j + 1] + 1, l[-1] + 1, row[j] + CASE WHEN b.norm[j] = tok THEN 0 ELSE 1 END)), [row[1] + 1]), range(0, b.len + 1))[-1] AS steps
+  FROM c a JOIN c b ON a.q_id = b.q_id AND a.rank < b.rank),
+paid AS (SELECT q_id, r1, r2, CASE WHEN steps = 0 THEN {f(0)} ELSE list_reduce(list_transform(range(0, steps + 1), lambda x: CASE WHEN x = 0 THEN {f(0)} ELSE {f(f(100) + ' / ' + f('m'))} END), lambda a, b: {f('a + b')}) END AS cost FROM two),
+sim0 AS (SELECT q_id, r1, r2, trunc({f(10000)} - cost * {f(100)}) / 10000.0 AS sim FROM paid),
+sim AS (SELECT * FROM sim0 UNION ALL SELECT q_id, r2, r1, sim FROM sim0),
+p1 AS (SELECT q_id, rank, score, s_id FROM c WHERE rank = 1),
+w2 AS (SELECT c.q_id, c.rank, c.score, c.s_id, x.sim AS penalty, row_number() OVER (PARTITION BY c.q_id ORDER BY {worth('x.sim')} DESC, c.rank) AS turn FROM c JOIN sim x ON x.q_id = c.q_id AND x.r1 = c.rank AND x.r2 = 1),
+p2 AS (SELECT * FROM w2 WHERE turn = 1),
+w3 AS (SELECT c.q_id, c.rank, c.score, c.s_id, {both} AS penalty, row_number() OVER (PARTITION BY c.q_id ORDER BY {worth(both)} DESC, c.rank) AS turn
+  FROM c JOIN p2 ON p2.q_id = c.q_id JOIN sim x ON x.q_id = c.q_id AND x.r1 = c.rank AND x.r2 = 1 JOIN sim y ON y.q_id = c.q_id AND y.r1 = c.rank AND y.r2 = p2.rank WHERE c.rank <> p2.rank),
+picks AS (SELECT q_id, 1 AS rank, score, 0.0::DOUBLE AS penalty, s_id FROM p1 UNION ALL SELECT q_id, 2, score, penalty::DOUBLE, s_id FROM p2 UNION ALL SELECT q_id, 3, score, penalty::DOUBLE, s_id FROM w3 WHERE turn = 1)
+SELECT q_id, rank::INTEGER AS rank, round(CAST(score AS DOUBLE), 4) AS score, round(penalty, 4) AS penalty, s_id FROM picks"""
+
+
+ORACLES["contrast_mean"], ORACLES["contrast_max"] = _contrast("mean"), _contrast("max")
