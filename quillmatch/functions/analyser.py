@@ -49,21 +49,31 @@ def entity(token: str) -> str:
     return "it" if body.startswith("it") else body
 
 
+_KNOWN: dict[frozenset[str], dict[str, tuple[str, str, str]]] = {}
+
+
+def classify(t: str, penalties: frozenset[str]) -> tuple[str, str, str]:
+    """(k, norm, real) of a token that stays; (d, dropped text, '') of one that goes."""
+    case = case_of(t) if "cas" in penalties and t[0] != OPEN else "N"
+    if case != "N":
+        return "k", t.lower(), case
+    if t[0] == OPEN:
+        name = entity(t)
+        return ("d", "T", "") if name == "it" and "tag" in penalties else ("k", OPEN + name + CLOSE, t)
+    if _NUMBER.match(t):
+        return "k", NUMBER if "nbr" in penalties else t, t
+    return ("d", t, "") if "pct" in penalties and not _LETTER.match(t) else ("k", t, t)
+
+
 def analyse_text(text: str | None, penalties: frozenset[str]) -> tuple[list[str], list[str], list[str], list[int], list[int], str]:
     """norm, real, itoks (one more than tokens), characters from and to of each token with what was dropped before it, and the text they count in."""
     text = unicodedata.normalize("NFC", text or "")
     norm, real, itoks, froms, tos = [], [], [""], [], []
     gap, joined, begin = True, False, -1
 
-    def keep(n: str, r: str, end: int) -> None:
-        nonlocal begin
-        norm.append(n)
-        real.append(r)
-        itoks.append("")
-        froms.append(begin)
-        tos.append(end)
-        begin = -1
-
+    known = _KNOWN.setdefault(penalties, {})
+    if len(known) > 500_000:
+        known.clear()
     first = True
     for m in _TOKEN.finditer(text):
         t = m[0]
@@ -79,21 +89,17 @@ def analyse_text(text: str | None, penalties: frozenset[str]) -> tuple[list[str]
         first = gap = joined = False
         if begin < 0:
             begin = m.start()
-        case = case_of(t) if "cas" in penalties and t[0] != OPEN else "N"
-        if case != "N":
-            keep(t.lower(), case, m.end())
-        elif t[0] == OPEN:
-            name = entity(t)
-            if name == "it" and "tag" in penalties:
-                itoks[-1] += "T"
-            else:
-                keep(OPEN + name + CLOSE, t, m.end())
-        elif _NUMBER.match(t):
-            keep(NUMBER if "nbr" in penalties else t, t, m.end())
-        elif "pct" in penalties and not _LETTER.match(t):
-            itoks[-1] += t
-        else:
-            keep(t, t, m.end())
+        if (found := known.get(t)) is None:
+            found = known[t] = classify(t, penalties)
+        if found[0] == "d":
+            itoks[-1] += found[1]
+            continue
+        norm.append(found[1])
+        real.append(found[2])
+        itoks.append("")
+        froms.append(begin)
+        tos.append(m.end())
+        begin = -1
     return norm, real, itoks, froms, tos, text
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.config import EditCosts
 from quillmatch.functions.scores import cover_bound, length_bound, reaches
+from quillmatch.operators.numbering import tasks
 
 #: A query is looked up by n-grams of the longest of these that its shortest counting run allows: longer n-grams have fewer hits.
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
@@ -40,7 +41,8 @@ def hits(queries: DataFrame, forms: DataFrame, broadcast_grams: int, near: Colum
     if near is not None:
         both = both.where(near)
     code = (F.col("s_pos") - F.col("q_pos")).cast("long") * _SHIFT + F.col("q_pos")
-    return both.groupBy("q_id", "form", "k").agg(F.array_sort(F.collect_list(code)).alias("codes"))
+    spread = both.select("q_id", "form", "k", code.alias("code")).repartition(tasks(both), "q_id", "form")
+    return spread.groupBy("q_id", "form", "k").agg(F.array_sort(F.collect_list("code")).alias("codes"))
 
 
 def islands(codes: Column, k: Column) -> Column:

@@ -48,16 +48,20 @@ def admitted(df: DataFrame, how: Analysis) -> DataFrame:
 def build(df: DataFrame, how: Analysis = Analysis(), order: tuple[str, ...] = ("ord",), text: str = "text", path: str | None = None) -> Index:
     """An index of df (the order columns, id, text), or of tokens if df has an array `norm` (and maybe `real`, `itoks`)."""
     spark, path = df.sparkSession, path or new_folder(df.sparkSession, "index")
-    rows = df.select(*{c: 1 for c in (*order, "id")}, F.col(text).alias("text")) if "norm" not in df.columns else df
-    if "norm" not in df.columns:
-        rows = analyse(rows, how)
-    else:
-        rows = rows.withColumns({c: F.lit(None).cast("array<string>") for c in ("real", "itoks") if c not in df.columns})
-    rows = admitted(rows.select(*order, F.col("id").cast("string").alias("id"), "norm", "real", "itoks"), how)
     if "id" in order:
         raise ValueError("id can't be an order column; give a copy of it")
+    columns = [*order, F.col("id").cast("string").alias("id")]
+    if "norm" in df.columns:
+        rows = df.select(*columns, "norm", *(c if c in df.columns else F.lit(None).cast("array<string>").alias(c) for c in ("real", "itoks")))
+    else:
+        rows = df.select(*columns, F.col(text).alias("text"))
+
+    def each(part: DataFrame) -> DataFrame:
+        found = part if "norm" in part.columns else analyse(part, how)
+        return admitted(found.select(*order, "id", "norm", "real", "itoks"), how)
+
     form = F.struct("norm", "real", "itoks")
-    all_ = numbered(rows, list(order), "s_id", f"{path}/admitted").withColumns({"h1": F.xxhash64(form), "h2": F.xxhash64(F.lit(1), form)})
+    all_ = numbered(rows, list(order), "s_id", f"{path}/admitted", each=each).withColumns({"h1": F.xxhash64(form), "h2": F.xxhash64(F.lit(1), form)})
     groups = all_.groupBy("norm", "real", "itoks", "h1", "h2").agg(F.min("s_id").alias("form"), F.count(F.lit(1)).alias("n"))
     forms = kept(groups.select("form", "n", F.size("norm").alias("len"), "norm", "real", "itoks", "h1", "h2"), f"{path}/forms")
     segments = kept(all_.select("s_id", "id", "h1", "h2").join(forms.select("form", "h1", "h2"), ["h1", "h2"]).select("s_id", "id", "form"), f"{path}/segments")

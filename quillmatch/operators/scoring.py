@@ -14,11 +14,7 @@ from quillmatch.functions.edit import in_blocks
 from quillmatch.functions.scores import diff_word
 
 FIRST = 0x4E00
-
-
-def marks(norm: Column, query: Column, letters: Column) -> Column:
-    """norm as text of one character for each token: its first place in the query, or the mark of all that the query doesn't have."""
-    return F.array_join(F.transform(norm, lambda w: F.substring(letters, (F.array_position(query, w) + 1).cast("int"), 1)), "")
+SMALL = 250
 
 
 def alphabet(size: int) -> str:
@@ -26,19 +22,28 @@ def alphabet(size: int) -> str:
     return "".join(map(chr, range(FIRST, FIRST + size + 1)))
 
 
-def token_distance(a: Column, b: Column, max_tokens: int) -> Column:
-    """Unit-cost edit distance of token arrays, in the JVM; null beyond 20,000 tokens a side."""
-    letters = F.lit(alphabet(min(max_tokens, 20_000)))
-    return F.levenshtein(marks(a, a, letters), marks(b, a, letters))
+def marks(norm: Column, query: Column, letters: Column) -> Column:
+    """norm as text of one character for each token: its first place in the query, or the mark of all that the query doesn't have."""
+    at = lambda w: F.array_position(query, w) + 1
+    small = F.array_join(F.transform(norm, lambda w: F.chr(at(w))), "")
+    large = F.array_join(F.transform(norm, lambda w: F.substring(letters, at(w).cast("int"), 1)), "")
+    return F.when(F.size(query) <= SMALL, small).otherwise(large)
+
 
+def unit_cost(pairs: DataFrame, max_tokens: int, fuzzy: float | None = None) -> DataFrame:
+    """pairs with cost: diff_word added up once for each edit, for pairs without real forms and dropped tokens.
 
-def unit_cost(pairs: DataFrame, max_tokens: int) -> DataFrame:
-    """pairs with cost: diff_word added up once for each edit, for pairs without real forms and dropped tokens."""
-    steps = token_distance(F.col("q_norm"), F.col("s_norm"), max_tokens)
-    dw = diff_word(F.col("p"), F.col("len"), EditCosts())
+    With fuzzy, the distance stops one edit beyond what that score allows, and such pairs are left out. Tokens beyond 20,000 count as one.
+    """
+    letters, dw = F.lit(alphabet(min(max_tokens, 20_000))), diff_word(F.col("p"), F.col("len"), EditCosts())
+    q, s = marks(F.col("q_norm"), F.col("q_norm"), letters), marks(F.col("s_norm"), F.col("q_norm"), letters)
     zero = F.lit(0.0).cast("float")
-    total = F.when(F.col("_steps") > 0, F.aggregate(F.sequence(F.lit(1), F.col("_steps")), zero, lambda a, _: (a + dw).cast("float"))).otherwise(zero)
-    return pairs.withColumn("_steps", steps).withColumn("cost", total).drop("_steps")
+    total = F.when(F.col("_steps") > 0, F.aggregate(F.sequence(F.lit(1), F.col("_steps")), zero, lambda a, _: (a + dw).cast("float"))).when(F.col("_steps") == 0, zero)
+    if fuzzy is None:
+        return pairs.withColumn("_steps", F.levenshtein(q, s)).withColumn("cost", total).drop("_steps")
+    most = F.greatest(F.lit(0), F.ceil((1 - fuzzy) * F.greatest("p", "len")).cast("int") + 1)
+    stopped = F.call_function("levenshtein", q, s, most)
+    return pairs.withColumn("_steps", stopped).withColumn("cost", total).drop("_steps")
 
 
 def weighted_cost(pairs: DataFrame, c: EditCosts, idf_weight: float = 0.0, idf_max: float = 1.0) -> DataFrame:

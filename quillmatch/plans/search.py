@@ -40,10 +40,15 @@ def paired(found: DataFrame, q: DataFrame, forms: DataFrame, *more: str) -> Data
     return found.join(right, "form").join(left, "q_id")
 
 
-def priced(pairs: DataFrame, index: Index, c: EditCosts, idf_weight: float = 0.0, idf_max: float = 1.0) -> DataFrame:
-    """pairs with cost; what needs no real forms and no weights stays in the JVM."""
-    if c.unit and not idf_weight and index.how.tokenizer == "sql":
-        return scoring.unit_cost(pairs, index.how.max_tokens)
+def in_jvm(index: Index, c: EditCosts, idf_weight: float = 0.0) -> bool:
+    """Whether costs need no real forms and no weights."""
+    return c.unit and not idf_weight and index.how.tokenizer == "sql"
+
+
+def priced(pairs: DataFrame, index: Index, c: EditCosts, idf_weight: float = 0.0, idf_max: float = 1.0, fuzzy: float | None = None) -> DataFrame:
+    """pairs with cost; it may be null where it is too high for the score `fuzzy`."""
+    if in_jvm(index, c, idf_weight):
+        return scoring.unit_cost(pairs, index.how.max_tokens, fuzzy)
     return scoring.weighted_cost(pairs, c, idf_weight, idf_max)
 
 
@@ -59,14 +64,20 @@ def candidate_pairs(queries: DataFrame, index: Index, o: MatchOptions) -> tuple[
 
 def scored(queries: DataFrame, index: Index, o: MatchOptions) -> DataFrame:
     """All pairs of query and form at or above the threshold."""
+    return _scored(queries, index, o).where(F.col("score") >= F.lit(o.fuzzy).cast("float"))
+
+
+def _scored(queries: DataFrame, index: Index, o: MatchOptions) -> DataFrame:
+    """Candidate pairs with score, which may be null or below the threshold."""
     q, pairs = candidate_pairs(queries, index, o)
     idf_max = log(max(index.n_segments, 1)) if o.idf else 1.0
     if o.idf:
         pairs = pairs.join(vocab.with_idf(q, index.vocabulary, index.n_segments, 0.0).select("q_id", "idf"), "q_id")
+    if in_jvm(index, o.costs, o.idf):  # equal tokens are what costs nothing: the distance isn't needed for that
+        pairs = pairs.where("q_norm != s_norm") if o.no_perfect else pairs
+        return priced(pairs, index, o.costs, fuzzy=o.fuzzy).withColumn("score", score(F.col("cost")))
     out = priced(pairs, index, o.costs, o.idf, idf_max).withColumn("score", score(F.col("cost")))
-    if o.no_perfect:
-        out = out.where("not (cost = 0 and p = len)")
-    return out.where(F.col("score") >= F.lit(o.fuzzy).cast("float"))
+    return out.where("not (cost = 0 and p = len)") if o.no_perfect else out
 
 
 def match(queries: DataFrame, index: Index, o: MatchOptions = MatchOptions()) -> DataFrame:
@@ -75,9 +86,13 @@ def match(queries: DataFrame, index: Index, o: MatchOptions = MatchOptions()) ->
     Only the n best forms of a query can hold its n best segments, so forms are cut first and then joined to their segments.
     Ties go to the lower s_id. Queries (q_id, text) without matches have no row.
     """
-    rows = scored(queries, index, o).select("q_id", "form", "score", F.col("run").alias("max_subseq"), F.col("len").alias("length"), "s_norm")
     limit = (o.n if o.buffer < 0 else o.buffer) if o.contrast > 0 else o.n
+    # with a limit, the threshold applies after it: a filter on the score would be pushed down and the distance be taken twice
+    pairs = _scored(queries, index, o) if limit else scored(queries, index, o)
+    rows = pairs.select("q_id", "form", "score", F.col("run").alias("max_subseq"), F.col("len").alias("length"), "s_norm")
     forms = best(rows, limit, "form").drop("rank")
+    if limit:
+        forms = forms.where(F.col("score") >= F.lit(o.fuzzy).cast("float"))
     each = best(forms.join(index.segments, "form"), limit, "s_id")
     if o.contrast > 0:
         each = rerank(each, o.n, o.contrast, o.reduce)
