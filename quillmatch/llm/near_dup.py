@@ -3,9 +3,9 @@
 Equal fingerprints are one vertex from the start. To find the near ones, a tree splits the 128 coordinates at random into
 strips of 32. At each level it tries a number of random centres and passes on, for each, the list of fingerprints whose partial
 weight (the distance to the centre on the strip of the level) is at most `tau`: two near fingerprints pass
-together far more often than two unrelated ones. Levels are added until lists are expected to have `leaf` fingerprints, and those are compared
+together far more often than two unrelated ones. Lists are expected to have at most `leaf` fingerprints, and those are compared
 by brute force. Enough independent trees are grown for a pair at the full distance to meet in a list with probability `recall`
-(nearer pairs meet more often). The levels, tau, centres and trees follow from the number of distinct fingerprints.
+(nearer pairs meet more often). Of the levels, tau and centres that allow this, those that cost least for the number of distinct fingerprints are taken.
 
 The links found in a list are reduced to a spanning forest, components are joined by stars, and the first document of
 each group (by doc_id) stays.
@@ -19,7 +19,8 @@ each group (by doc_id) stays.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, comb, log
+from functools import lru_cache
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -54,37 +55,52 @@ def passing(tau: int) -> float:
     return sum(comb(STRIP, w) for w in range(tau + 1)) / 2**STRIP
 
 
-def together(tau: int, distance: int) -> float:
-    """That both of a pair at the distance pass a centre, given that one does."""
+@lru_cache(maxsize=None)
+def meeting(tau: int, weight: int) -> float:
+    """That both of a pair pass a centre, if they differ in `weight` bits of the strip."""
     total = 0.0
-    for f in range(min(STRIP, distance) + 1):
-        p_f = comb(distance, f) * comb(BITS - distance, STRIP - f) / comb(BITS, STRIP)
-        for w in range(tau + 1):
-            for a in range(min(w, f) + 1):
-                if f - a <= STRIP - w and w + f - 2 * a <= tau:
-                    total += p_f * comb(STRIP, w) / 2**STRIP * comb(w, a) * comb(STRIP - w, f - a) / comb(STRIP, f)
-    return total / passing(tau)
+    for w in range(tau + 1):
+        for a in range(min(w, weight) + 1):
+            if weight - a <= STRIP - w and w + weight - 2 * a <= tau:
+                total += comb(STRIP, w) / 2**STRIP * comb(w, a) * comb(STRIP - w, weight - a) / comb(STRIP, weight)
+    return total
+
+
+def survival(levels: int, tau: int, children: int, distance: int) -> float:
+    """That a pair at the distance meets in a list of one tree.
+
+    All nodes of a level have the same centres, so a pair meets if each level has a centre that both pass; given the pair's
+    weights on the strips (multivariate hypergeometric), levels are independent.
+    """
+    most = min(STRIP, distance)
+    hit = [comb(STRIP, f) * (1 - (1 - meeting(tau, f)) ** children) for f in range(most + 1)]
+    ways = [1.0] + [0.0] * distance  # by weight on the strips so far
+    for _ in range(levels):
+        ways = [sum(ways[u - f] * hit[f] for f in range(min(most, u) + 1)) for u in range(distance + 1)]
+    rest = BITS - levels * STRIP
+    return sum(x * comb(rest, distance - u) for u, x in enumerate(ways)) / comb(BITS, distance)
 
 
 def plan(n: int, p: Params) -> Plan:
     """Levels, threshold and number of trees for n distinct fingerprints."""
     if n <= p.leaf:
         return Plan(0, STRIP, 1, 1)
-    bits = log(n / p.leaf, 2)
-    levels = min(BITS // STRIP, max(1, ceil(bits / 4.2)))
-    tau = max([t for t in range(STRIP // 2) if passing(t) ** levels <= p.leaf / n], default=0)
-    q, c = passing(tau), together(tau, p.distance)
     best = None
-    for children in (1 << k for k in range(3, 15)):
-        alive = 1.0
-        for _ in range(levels):
-            alive = 1 - (1 - q * c * alive) ** children
-        trees = max(1, ceil(log(1 - p.recall) / log(1 - alive))) if alive < 1 else 1
-        tests = trees * children * sum((children * q) ** k for k in range(levels))
-        copies = trees * (children * q) ** levels
-        cost = tests + copies * (150 + n * q**levels)  # in tests of one centre
-        if best is None or cost < best[0]:
-            best = cost, Plan(levels, tau, children, trees)
+    for levels in range(1, BITS // STRIP + 1):
+        for tau in range(STRIP // 2):
+            q = passing(tau)
+            if q**levels > p.leaf / n:
+                break
+            for children in (m << k for k in range(2, 14) for m in (2, 3)):
+                alive = survival(levels, tau, children, p.distance)
+                if alive <= 0:
+                    continue
+                trees = max(1, ceil(log(1 - p.recall) / log1p(-alive))) if alive < 1 else 1
+                tests = trees * children * sum((children * q) ** k for k in range(levels))
+                copies = trees * (children * q) ** levels
+                cost = tests + copies * (150 + n * q**levels)  # in tests of one centre
+                if best is None or cost < best[0]:
+                    best = cost, Plan(levels, tau, children, trees)
     return best[1]
 
 

@@ -277,6 +277,37 @@ def test_near_pairs_recall(spark, leaf):
     assert len(pairs) > 200 and sum(bool(member[i] & member[j]) for i, j in pairs) >= 0.9 * len(pairs)
 
 
+@pytest.mark.parametrize("n", [20_000, 300_000, 3_000_000, 30_000_000, 100_000_000])
+def test_near_recall_of_deep_plans(n):
+    how = nd.plan(n, nd.Params())
+    assert planted_recall(how, 600) >= 0.92
+
+
+@pytest.mark.parametrize("how", [nd.Plan(2, 9, 96, 20), nd.Plan(3, 11, 16, 60), nd.Plan(4, 11, 16, 300)])
+def test_near_survival_is_measured(how):
+    want = 1 - (1 - nd.survival(how.levels, how.tau, how.children, 24)) ** how.trees
+    assert planted_recall(how, 1500) == pytest.approx(want, abs=0.05)
+
+
+def planted_recall(how, n):
+    """Share of n pairs at distance 24 that meet in a list."""
+    rng = np.random.default_rng(8)
+    one = rng.integers(0, 1 << 64, (n, 2), dtype=np.uint64)
+    flips = np.zeros((n, nd.BITS), np.uint8)
+    for row in flips:
+        row[rng.choice(nd.BITS, 24, replace=False)] = 1
+    two = one ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    met = set()
+    for lo in range(0, n, 200):  # as spread() takes them, in parts
+        part = slice(lo, lo + 200)
+        own = min(200, n - lo)
+        at, where = nd.lists(np.concatenate([one[part], two[part]]), how, nd.Params())
+        left, right = at < own, at >= own
+        a, b = set(zip(at[left].tolist(), where[left].tolist())), set(zip((at[right] - own).tolist(), where[right].tolist()))
+        met |= {lo + i for i, _ in a & b}
+    return len(met) / n
+
+
 def test_near_groups(spark):
     texts = near_texts(random.Random(3), groups=25)
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
