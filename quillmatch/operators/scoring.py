@@ -15,6 +15,8 @@ from quillmatch.functions.scores import diff_word
 
 FIRST = 0x4E00
 SMALL = 250
+#: Segments of more tokens are beyond the alphabet.
+LETTERS = 20_000
 
 
 def alphabet(size: int) -> str:
@@ -22,21 +24,24 @@ def alphabet(size: int) -> str:
     return "".join(map(chr, range(FIRST, FIRST + size + 1)))
 
 
-def marks(norm: Column, query: Column, letters: Column) -> Column:
-    """norm as text of one character for each token: its first place in the query, or the mark of all that the query doesn't have."""
-    at = lambda w: F.array_position(query, w) + 1
+def marks(norm: Column, segment: Column, letters: Column) -> Column:
+    """norm as text of one character for each token: its first place in the segment, or the mark of all that the segment doesn't have.
+
+    A token equals one of the segment or none of it, so the segment's tokens are all that must be told apart, however long the query is.
+    """
+    at = lambda w: F.array_position(segment, w) + 1
     small = F.array_join(F.transform(norm, lambda w: F.chr(at(w))), "")
     large = F.array_join(F.transform(norm, lambda w: F.substring(letters, at(w).cast("int"), 1)), "")
-    return F.when(F.size(query) <= SMALL, small).otherwise(large)
+    return F.when(F.size(segment) <= SMALL, small).otherwise(large)
 
 
 def unit_cost(pairs: DataFrame, max_tokens: int, fuzzy: float | None = None) -> DataFrame:
     """pairs with cost: diff_word added up once for each edit, for pairs without real forms and dropped tokens.
 
-    With fuzzy, the distance stops one edit beyond what that score allows, and such pairs are left out. Tokens beyond 20,000 count as one.
+    With fuzzy, the distance stops one edit beyond what that score allows, and such pairs are left out. Segments have at most max_tokens tokens, of at most LETTERS; queries may be longer.
     """
-    letters, dw = F.lit(alphabet(min(max_tokens, 20_000))), diff_word(F.col("p"), F.col("len"), EditCosts())
-    q, s = marks(F.col("q_norm"), F.col("q_norm"), letters), marks(F.col("s_norm"), F.col("q_norm"), letters)
+    letters, dw = F.lit(alphabet(max_tokens)), diff_word(F.col("p"), F.col("len"), EditCosts())
+    q, s = marks(F.col("q_norm"), F.col("s_norm"), letters), marks(F.col("s_norm"), F.col("s_norm"), letters)
     zero = F.lit(0.0).cast("float")
     total = F.when(F.col("_steps") > 0, F.aggregate(F.sequence(F.lit(1), F.col("_steps")), zero, lambda a, _: (a + dw).cast("float"))).when(F.col("_steps") == 0, zero)
     if fuzzy is None:

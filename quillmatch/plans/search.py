@@ -41,8 +41,8 @@ def paired(found: DataFrame, q: DataFrame, forms: DataFrame, *more: str) -> Data
 
 
 def in_jvm(index: Index, c: EditCosts, idf_weight: float = 0.0) -> bool:
-    """Whether costs need no real forms and no weights."""
-    return c.unit and not idf_weight and index.how.tokenizer == "sql"
+    """Whether costs need no real forms and no weights, and segments fit the alphabet."""
+    return c.unit and not idf_weight and index.how.tokenizer == "sql" and index.how.max_tokens <= scoring.LETTERS
 
 
 def priced(pairs: DataFrame, index: Index, c: EditCosts, idf_weight: float = 0.0, idf_max: float = 1.0, fuzzy: float | None = None) -> DataFrame:

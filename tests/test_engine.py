@@ -15,8 +15,9 @@ from quillmatch.operators import candidates
 from quillmatch.operators.contrast import similarity
 from quillmatch.operators.index import build, decoded, extended, load, save
 from quillmatch.operators.numbering import numbered
+from quillmatch.operators.scoring import unit_cost, weighted_cost
 from quillmatch.operators.sinks import match_lines, subsequence_lines
-from quillmatch.plans.search import match, subsequence
+from quillmatch.plans.search import analysed, match, paired, subsequence
 from quillmatch.sources.store import new_folder
 from quillmatch.streaming.matching import match_stream
 
@@ -135,6 +136,18 @@ def test_subsequence_is_brute_force(spark, o):
     assert subsequence_lines(frame, subsequence(frame, index, o)).count() == len(queries)
 
 
+@pytest.mark.parametrize("o", [SubsequenceOptions(min_ratio=0.0), SubsequenceOptions(min_ratio=0.0, no_perfect=True)])
+def test_subsequence_of_long_queries(spark, o):
+    q = ["".join("abcdefghij"[int(x)] for x in f"{i:04}") for i in range(1000)]
+    index = indexed(spark, [q[600:640] + ["x"] * 3, q[600:640], q[:300], q[:250] + ["x"] * 40], tokenizer="sql")
+    frame = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate([q, q[300:], q[:300] + q[700:]])], "q_id long, text string")
+    got = {r["q_id"]: (round(r["score"], 3), r["max_subseq"], r["s_id"]) for r in subsequence(frame, index, o).collect()}
+    assert got == {0: (0.3, 300, 2), 1: (0.057, 40, 1), 2: (0.5, 300, 2)}
+    pairs = paired(spark.createDataFrame([(k, i) for k in range(3) for i in range(4)], "q_id long, form long"), analysed(frame, index), index.forms)
+    one, two = ({(r["q_id"], r["form"]): r["cost"] for r in x.collect()} for x in (unit_cost(pairs, index.how.max_tokens), weighted_cost(pairs, EditCosts())))
+    assert one == pytest.approx(two, abs=0.01) and len(one) == 12
+
+
 def test_subsequence_text_and_idf(spark):
     index = build(spark.createDataFrame([(0, "x", "The red, red House (big) burns"), (1, "y", "a a a a")], "ord long, id string, text string"), Analysis(parse_penalties("pct,cas")))
     q = spark.createDataFrame([(0, "see the Red, red house now")], "q_id long, text string")
