@@ -4,13 +4,15 @@ Documents of a source, in the order of the MD5 of their id, fill blocks of `bloc
 belongs to the block in which it starts. With weight q/P, block i (from 1) of a source is released at slot
 floor((i - 1) P / q) and due by ceil(i P / q). One block goes out in each slot: of those released, the one due
 earliest (ties by source). Integer quotas q that add up to the period P fill every slot and meet every deadline, so that at all
-times each source is less than one block from its share. The schedule repeats after P slots, so one
-period of bounded length is planned on the driver and every document finds its slots by arithmetic.
+times each source is less than one block from its share. The schedule repeats after P slots, so at most one
+period is planned on the driver and every document finds its slots by arithmetic.
 
 The mix lasts until each block of each source has been out once; sources that are through sooner start over (epoch 1, 2, ...).
 
 * weights: by source. By default the size of the source in characters, plus one, to the power `temperature`.
-  Quotas are ceil(resolution * weight); sources with no or zero weight are left out.
+  Quotas are ceil(resolution * weight) as long as that rounding moves no source by `rounding` blocks over the whole mix; in a longer
+  mix they are the weights to 2^-50, and only the slots of the mix are planned: one number for each on the driver.
+  Sources with no or zero weight are left out.
 * Nulls: a null source counts as ''; a null text has size 0; a null doc_id sorts as ''.
 * Ties and repeated rows: rows of one source with equal doc_id are ordered by size, and each is in the mix as itself.
 * Further columns pass through mix(), but for those named like one of the new columns (in any case), which are replaced. Without rows the result is empty.
@@ -19,8 +21,12 @@ The mix lasts until each block of each source has been out once; sources that ar
 from __future__ import annotations
 
 import heapq
+from array import array
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,22 +40,38 @@ class Params:
     block_chars: int = 65536
     temperature: float = 0.7
     resolution: int = 1000
+    rounding: float = 0.5
     weights: dict[str, float] | None = None
 
 
 def quotas(sizes: dict[str, int], p: Params) -> dict[str, int]:
     w = {s: (n + 1.0) ** p.temperature for s, n in sizes.items()} if p.weights is None else {s: p.weights.get(s, 0.0) for s in sizes}
     total = sum(w[s] for s in sorted(w))
-    return {s: int(-(-p.resolution * x / total // 1)) for s, x in w.items() if x > 0}
+    short = {s: int(-(-p.resolution * x / total // 1)) for s, x in w.items() if x > 0}
+    goal, period = {s: w[s] / total for s in short}, sum(short.values())
+    length = max((period * blocks_of(sizes[s], p) / q for s, q in short.items()), default=0)
+    if all(length * abs(q / period - goal[s]) < p.rounding for s, q in short.items()):
+        return short
+    return {s: max(1, round(x * (1 << 50))) for s, x in goal.items()}
 
 
-def schedule(q: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period, by earliest deadline first."""
-    period, out = sum(q.values()), {s: [] for s in q}
+def blocks_of(size: int, p: Params) -> int:
+    return max(1, -(-size // p.block_chars))
+
+
+def length_of(q: dict[str, int], blocks: dict[str, int]) -> int:
+    """Slots by which each block of each source has been due."""
+    period = sum(q.values())
+    return max(-(-blocks[s] * period // q[s]) for s in q)
+
+
+def schedule(q: dict[str, int], length: int | None = None) -> dict[str, array]:
+    """The slots of each source in one period, or in its first `length` slots, by earliest deadline first."""
+    period, out = sum(q.values()), {s: array("q") for s in q}
     coming = [(0, s) for s in sorted(q)]
     heapq.heapify(coming)
     ready: list[tuple[int, str]] = []
-    for t in range(period):
+    for t in range(period if length is None else min(period, length)):
         while coming and coming[0][0] <= t:
             s = heapq.heappop(coming)[1]
             heapq.heappush(ready, (-(-(len(out[s]) + 1) * period // q[s]), s))
@@ -71,24 +93,27 @@ def mix(docs: DataFrame, p: Params = Params()) -> DataFrame:
     q = quotas(sizes, p)
     if not q:
         return docs.select("*", *(F.lit(0).cast("long").alias(c) for c in ADDED)).where("false")
-    period, slots = sum(q.values()), schedule(q)
-    blocks = {s: max(1, -(-sizes[s] // p.block_chars)) for s in q}
+    period, blocks = sum(q.values()), {s: blocks_of(sizes[s], p) for s in q}
+    slots = schedule(q, length_of(q, blocks))
     slot = lambda s, j: j // q[s] * period + slots[s][j % q[s]]
     end = max(slot(s, blocks[s] - 1) for s in q) + 1
-    times = {s: sum(1 for x in slots[s] if x < end % period) + end // period * q[s] for s in q}  # blocks sent before the end
-    plan = spark.createDataFrame([(s, k, x, q[s], blocks[s], times[s]) for s in q for k, x in enumerate(slots[s])], "p_src string, k long, at long, q long, blocks long, times long")
+    times = {s: bisect_left(slots[s], end % period) + end // period * q[s] for s in q}  # blocks sent before the end
+    shares = spark.createDataFrame([(i, s, q[s], blocks[s], times[s]) for i, s in enumerate(q)], "p_id int, p_src string, q long, blocks long, times long")
+    number = np.repeat(np.arange(len(q), dtype=np.int32), [len(slots[s]) for s in q])
+    turns = np.concatenate([np.arange(len(slots[s])) for s in q])
+    plan = spark.createDataFrame(pa.table({"s_id": number, "k": turns, "at": np.concatenate([np.asarray(slots[s]) for s in q])}))
     before = sums.select("src", "part", F.coalesce(F.sum("chars").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     here = Window.partitionBy("src", "part").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rows.withColumn("within", F.coalesce(F.sum("size").over(here), F.lit(0))).join(before, ["src", "part"])
-        .join(plan.where("k = 0").select("p_src", "q", "blocks", "times"), F.col("src") == F.col("p_src"))
+        .join(F.broadcast(shares), F.col("src") == F.col("p_src"))
         .withColumn("start", F.col("base") + F.col("within"))
         .withColumn("block", F.least(F.expr(f"start div {p.block_chars}"), F.col("blocks") - 1))
         .where("block < times")
-        .select("row", "src", "block", (F.col("start") - F.col("block") * p.block_chars).alias("block_offset"), "q", "blocks", F.explode(F.expr("sequence(0L, (times - 1 - block) div blocks)")).alias("epoch"))
+        .select("row", "p_id", "block", (F.col("start") - F.col("block") * p.block_chars).alias("block_offset"), "q", "blocks", F.explode(F.expr("sequence(0L, (times - 1 - block) div blocks)")).alias("epoch"))
         .withColumn("turn", F.col("epoch") * F.col("blocks") + F.col("block"))
     )
-    out = placed.join(plan.select("p_src", "k", "at"), (F.col("src") == F.col("p_src")) & (F.expr("turn % q") == F.col("k")))
+    out = placed.join(plan, (F.col("p_id") == F.col("s_id")) & (F.expr("turn % q") == F.col("k")))
     return out.select("row.*", "epoch", F.expr(f"turn div q * {period} + at").alias("slot"), "block", "block_offset")
 
 

@@ -152,6 +152,30 @@ def test_mix_stays_within_one_block(q):
         assert np.abs(sent - np.arange(1, period + 1) * q[s] / period).max() < 1
 
 
+@pytest.mark.parametrize("sizes,temperature", [({"hot": 3 * 10**8, **{f"s{i}": 10**7 for i in range(20)}}, 1.0), ({"hot": 10**9, **{f"s{i}": 10**6 for i in range(200)}}, 0.7), ({f"s{i}": 10**9 // (i + 1) for i in range(1500)}, 0.7)])
+def test_mix_stays_near_target_weights(sizes, temperature):
+    p = mx.Params(temperature=temperature)
+    q, blocks = mx.quotas(sizes, p), {s: -(-n // p.block_chars) for s, n in sizes.items()}
+    slots, period, total = mx.schedule(q, mx.length_of(q, blocks)), sum(q.values()), sum((n + 1.0) ** temperature for n in sizes.values())
+    length = sum(len(own) for own in slots.values())
+    assert sorted(t for own in slots.values() for t in own) == list(range(length))
+    for s, own in slots.items():
+        assert len(own) >= blocks[s]
+        w, i = (sizes[s] + 1.0) ** temperature / total, np.arange(1, len(own) + 1)
+        at = np.asarray(own)
+        assert np.abs(np.r_[i - (at + 1) * w, i - 1 - at * w, len(own) - length * w]).max() < 1 + 1e-6
+
+
+def test_mix_beyond_the_resolution_holds_every_document(spark):
+    docs = read_table(spark, SF, "documents").select("doc_id", "text", "source")
+    p = mx.Params(block_chars=300)
+    sizes = {s: int(n) for s, n in docs.toPandas().assign(n=lambda x: x.text.str.len()).groupby("source").n.sum().items()}
+    assert sum(mx.quotas(sizes, p).values()) > 10**6
+    rows = mx.mix(docs, p).drop("text").toPandas()
+    assert set(rows[rows.epoch == 0].doc_id) == {r["doc_id"] for r in docs.collect()}
+    assert (rows.groupby("slot").source.nunique() == 1).all()
+
+
 def test_mix_holds_every_document(spark):
     docs = read_table(spark, SF, "documents").select("doc_id", "text", "source")
     p = mx.Params(block_chars=20000, weights={"src0": 3.0, "src1": 1.0, "src2": 1.0})
