@@ -6,8 +6,8 @@ Transition and start weights are learned with the feature weights by maximum lik
 different languages, so that switches are seen. Forward-backward gives each word the exact marginals over its whole document: blocks of
 words are reduced to transfer matrices, these are chained, and the messages then run inside all blocks at once.
 
-The model is fitted on at most `max_docs` labelled documents of each language (lowest MD5 of the id), at most `max_labels` languages (the
-most frequent). Every document is labelled, in whole.
+The model is fitted on at most `max_docs` labelled documents of each language (lowest MD5 of the id), and on all languages. Every document is
+labelled, in whole. The blocks of a document need memory in proportion to the square of the number of languages.
 
 Result: doc_id, lang (of most words; ties: first in the alphabet), n_words, confidence (mean of the best marginal), n_switches, and spans (start, end, lang), in
 characters, from the first letter of a run of words of one language to the last.
@@ -23,10 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import _TABLE, CLASS, mix, read_table, runs, span_hash, texts, tidy, utf8
+from quillmatch.llm.common import _TABLE, CHUNK_BYTES, CLASS, mix, read_table, runs, span_hash, texts, tidy, utf8
 
 _U = np.uint64
 WORD = (CLASS == 1).astype(np.uint8)
@@ -38,7 +38,6 @@ SCHEMA = "doc_id long, lang string, n_words int, confidence double, n_switches i
 class Params:
     buckets: int = 1 << 15
     max_docs: int = 250
-    max_labels: int = 16
     lexicon_min: int = 3
     length: int = 64
     batch: int = 256
@@ -192,7 +191,8 @@ def _lower(column: pa.Array) -> pa.Array:
 
 def label(column: pa.Array, m: Model):
     """For each piece of the column: first row, rows, row of each word, label, marginal, and characters from and to."""
-    for lo, hi, buf, offs in texts(_lower(column)):
+    limit = max(1, CHUNK_BYTES * 256 // max(256, len(m.labels) ** 2))
+    for lo, hi, buf, offs in texts(_lower(column), limit):
         start, end, row = runs(buf, offs, WORD)
         p = marginals(emissions(buf, start, end, m), row, m)
         heads = np.zeros(len(buf) + 1, np.int64)
@@ -231,13 +231,8 @@ def identify(docs: DataFrame, m: Model) -> DataFrame:
 def sample(docs: DataFrame, p: Params) -> list[tuple[str, str]]:
     """(lang, text) of the training documents."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    langs = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_labels).collect())
-    ids = None
-    for x in langs:
-        own = known.where(F.col("lang") == x).select("doc_id", "lang").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(p.max_docs)
-        ids = own if ids is None else ids.unionByName(own)
-    if ids is None:
-        return []
+    first = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
+    ids = known.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= p.max_docs).drop("n")
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).collect()
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"]))]
 

@@ -436,6 +436,19 @@ def test_language_held_out(spark, crf):
     assert (long.lang == long.truth).mean() > 0.97
 
 
+def test_languages_beyond_sixteen(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(20 * 12)]
+    names = [f"l{i:02}" for i in range(20)]
+    rows = [(100 * i + j, x, " ".join(rng.choices(vocabulary[12 * i : 12 * i + 12], k=30))) for i, x in enumerate(names) for j in range(12 if i < 16 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    p = li.Params(batch=8, epochs=8, max_docs=5)
+    known = li.sample(docs, p)
+    assert {x: sum(y == x for y, _ in known) for x in names} == dict.fromkeys(names, 5)
+    got = {r["doc_id"]: r["lang"] for r in li.identify(docs, li.fit(known, p)).collect()}
+    assert sum(got[d] == x for d, x, _ in rows if x > "l15") >= 0.9 * 32
+
+
 def test_language_switches(spark, crf):
     docs, m = crf
     rows = docs.where("doc_id % 2 = 1 and n_chars > 400").toPandas()
