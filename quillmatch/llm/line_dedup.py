@@ -8,8 +8,9 @@ end when no rank is shared, after log2 of the longest repeated run.
 
 Suffixes of equal rank after round k are a longest-common-prefix interval of at least 2^k lines: its first member (by
 doc_id, then position) is the original, the others are later copies. Any run of L lines is the union of its windows of
-the power of two below L, so these intervals give every maximal run: in each round, later copies whose originals follow each other in one
+the power of two below L: in each round, later copies whose originals follow each other in one
 document join into a run, from the first line of the first window to the last of the last. A run of at least `min_chars` characters is deleted.
+If windows of a run first occur in different documents, the run is split there, and pieces of less than `min_chars` stay although the whole run repeats.
 
 * Blank lines are never compared or deleted. A text without newlines is one line.
 * Null texts stay null; empty ones stay empty.
