@@ -15,16 +15,24 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 _U = np.uint64
 
 
+#: Stands for a null id where ids are ordered.
+LAST = 9223372036854775807
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one is set only where the setting is absent (tests)."""
+    """The folder that spark.checkpoint.dir names; a local one is set only where the setting is absent and all executors are this machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillmatch-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -67,19 +75,33 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and read it back; the path is on the returned frame as _scratch_path."""
-        path = f"{self.base}/{self.n}"
-        self.n += 1
+        path = self.path()
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def path(self) -> str:
+        """An unused path."""
+        self.n += 1
+        return f"{self.base}/{self.n - 1}"
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *frames: DataFrame | None) -> None:
         """Delete tables that no later frame reads."""
         for f in frames:
             if path := getattr(f, "_scratch_path", None):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        """Delete all tables but those of the frames."""
+        kept = {f._scratch_path for f in frames}
+        for k in range(self.n):
+            if (path := f"{self.base}/{k}") not in kept:
+                self._delete(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +109,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checked_id(df: DataFrame, name: str) -> None:
+    """TypeError unless the column has an integer type, whose order these operators need."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{name} must be an integer, not {kind.simpleString()}")
+
+
+def id_type(df: DataFrame, name: str) -> str:
+    """The type of the id column, which results keep, whatever it is."""
+    return df.schema[name].dataType.simpleString()
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], count: str, share: int = 1024) -> DataFrame:
+    """rows joined with groups, of which `count` is the number of rows each has.
+
+    Groups of more than one in `share` of all rows, of which there can't be more than `share`, are broadcast, so that no task gets all rows of one; the others are joined by shuffle.
+    """
+    most = (groups.agg(F.sum(count)).first()[0] or 0) / share
+    hot = groups.where(F.col(count) > most)
+    names = [*on, *(c for c in rows.columns if c not in on), *(c for c in groups.columns if c not in on)]
+    few = rows.join(F.broadcast(hot), on).select(*names)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col(count) <= most), on)
+    return few.unionByName(rest.select(*names))
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     """A column as one large_string array without nulls."""
     if isinstance(column, pa.ChunkedArray):

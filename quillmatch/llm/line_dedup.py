@@ -1,20 +1,21 @@
 """Line dedup: a suffix array over line-ID sequences, by distributed prefix doubling.
 
 Every document is the sequence of its non-blank lines (split at newlines, without the spaces around them), a line's ID
-being 128 bits of hash. Suffixes that begin with a line found nowhere else are in no run and stay out. The others get
-ranks by their first line, and in round k suffixes with equal ranks for 2^k lines are ranked by the rank of the suffix
-2^k lines on; those whose second half is unranked, or whose pair of ranks is unique, share no more and drop out. The rounds
-end when no rank is shared, after log2 of the longest repeated run.
-
-Suffixes of equal rank after round k are a longest-common-prefix interval of at least 2^k lines: its first member (by
-doc_id, then position) is the original, the others are later copies. Any run of L lines is the union of its windows of
-the power of two below L: in each round, later copies whose originals follow each other in one
-document join into a run, from the first line of the first window to the last of the last. A run of at least `min_chars` characters is deleted.
-If windows of a run first occur in different documents, the run is split there, and pieces of less than `min_chars` stay although the whole run repeats.
-
-* Blank lines are never compared or deleted. A text without newlines is one line.
+being 128 bits of hash. Suffixes that begin with a line found nowhere else are in no repeated run and stay out. The others get
+ranks: round 0 numbers them in the order of their first line, round k + 1 in the order of the pair of ranks that they and the suffix 2^k lines on have in
+round k, so that they are sorted by 2^(k+1) lines. Suffixes whose pair is unique share no more and drop out.
+
+Two suffixes have a longest common prefix of L lines or more (2^k <= L < 2^(k+1)) just if they have equal ranks in round k, and so have the suffixes
+L - 2^k lines on: that pair of ranks names the longest-common-prefix interval of depth L. An interval's first suffix (by doc_id, then position) is the original, the
+others begin later copies of L lines. A line is deleted just if it lies in a run of lines, of `min_chars` characters or more, that occurs before, of whatever length and wherever that is.
+It is enough to look at the depths at which a run reaches min_chars, from its first line on or back from its last: every longer run that repeats
+is the union of such ones, which repeat with it, and they join into the maximal run. So rounds end with the longest of these, below log2(min_chars), and
+suffixes that no such run can reach drop out sooner.
+
+* Blank lines are never compared or deleted. A text without newlines is one line. Copies may overlap their original (of three equal lines two are later copies).
+* Runs of less than min_chars characters (40) are no evidence of copying and stay, single lines too.
 * Null texts stay null; empty ones stay empty.
-* Null doc_ids order last. Repeated rows (same doc_id, same text) are one document: each gets the same result, and they are
+* doc_id must be an integer type; null doc_ids order last, as does the largest 64-bit one, which is taken for null. Repeated rows (same doc_id, same text) are one document: each gets the same result, and they are
   no copies of each other. Rows with one doc_id and different texts are ordered by a hash of the text.
 * Further columns pass through keep_lines(), which updates n_chars where it exists.
 """
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmatch.llm.common import read_table, Scratch, tidy
+from quillmatch.llm.common import LAST, Scratch, checked_id, hot_join, read_table, tidy
+from quillmatch.operators.numbering import numbered
 
 KEY = ["d", "th"]
-LAST = 9223372036854775807
 
 
 @dataclass(frozen=True)
@@ -47,70 +48,94 @@ def _keys() -> list:
 
 def _lines(docs: DataFrame) -> DataFrame:
     lines = F.expr(r"filter(transform(split(text, '\n'), x -> trim(x)), x -> x != '')")
-    return docs.where("text is not null").select(*_keys(), F.posexplode(lines).alias("seq", "line")).select("d", "th", "seq", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return docs.where("text is not null").select(*_keys(), F.posexplode(lines).alias("seq", "line")).select("d", "th", "seq", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("n"))
 
 
 def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
     """Groups of rows at more than one place: how many rows, and the first place."""
     place = F.struct("d", "th", "seq")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
 
 
-def _ranked_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
+def _ranked(scratch: Scratch, rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows that others equal, with `rank`: the number of their group in the order of the columns."""
+    groups, at = scratch.keep(_shared(rows, by).select(*by, "n_rows")), scratch.path()
+    ranks = numbered(groups, by, "rank", at)
+    return hot_join(rows, ranks, by, "n_rows").drop("n_rows")
+
+
+def _depths(rows: DataFrame, least: int) -> DataFrame:
+    """Lines (d, th, seq, r, n) with lo and hi: the numbers of lines, from this one on, at which a run reaches `least` characters from its first line on (lo) or back from its last (lo + 1 to hi)."""
+    own = Window.partitionBy(*KEY)
+    rows = rows.withColumn("u", F.sum("n").over(own.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    rows = rows.withColumn("u0", F.col("u") - F.col("n"))
+    ahead, back = own.orderBy("u0").rangeBetween(0, least - 1), own.orderBy("u").rangeBetween(0, least - 1)
+    rows = rows.withColumn("lo", F.when(F.sum("n").over(ahead) >= least, F.count(F.lit(1)).over(ahead).cast("int")))
+    return rows.withColumn("hi", F.greatest("lo", F.count(F.lit(1)).over(back).cast("int"))).drop("u", "u0")
+
+
+def suffix_rounds(scratch: Scratch, docs: DataFrame, p: Params = Params()) -> list[DataFrame]:
+    """For k = 0, 1, ...: the suffixes (d, th, seq) that share 2^k lines with others and their rank r; c, head and tail are the characters of these lines, of the first and of the last one."""
     rows = scratch.keep(_lines(docs))
-    groups = scratch.keep(_shared(rows, ["h1", "h2"]).withColumn("part", F.expr("shiftrightunsigned(h1, 52)")))
-    upto = lambda *by: Window.partitionBy(*by[:-2]).orderBy(*by[-2:]).rowsBetween(Window.unboundedPreceding, -1)
-    base = groups.groupBy("part").agg(F.sum("c").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranks = groups.withColumn("within", F.coalesce(F.sum("c").over(upto("part", "h1", "h2")), F.lit(0))).join(F.broadcast(base), "part")  # at most 4096 rows
-    out = scratch.keep(rows.join(ranks.select("h1", "h2", "first", (F.col("base") + F.col("within")).alias("r")), ["h1", "h2"]).select("d", "th", "seq", "r", "first"))
-    scratch.drop(rows, groups)
-    return out
-
-
-def suffix_rounds(scratch: Scratch, docs: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ...: the suffixes (d, th, seq) that share 2^k lines with others, their rank and the first place of their interval."""
-    rounds = [_ranked_lines(scratch, docs)]
-    while not rounds[-1].isEmpty():
-        step = 1 << (len(rounds) - 1)
-        ahead = Window.partitionBy(*KEY).orderBy("seq").rangeBetween(step, step)
-        pairs = scratch.keep(rounds[-1].select("d", "th", "seq", "r", F.first("r").over(ahead).alias("r2")).where("r2 is not null"))
-        inside = Window.partitionBy("r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)
-        ranks = _shared(pairs, ["r", "r2"]).select("r", "r2", "first", (F.col("r") + F.coalesce(F.sum("c").over(inside), F.lit(0))).alias("next"))
-        rounds.append(scratch.keep(pairs.join(ranks, ["r", "r2"]).select("d", "th", "seq", F.col("next").alias("r"), "first")))
-        scratch.drop(pairs)
-    return rounds[:-1]
-
-
-def repeated_runs(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    first = _ranked(scratch, rows, ["h1", "h2"]).select("d", "th", "seq", "n", F.col("rank").alias("r"))
+    first = _depths(first.repartition(*KEY).dropDuplicates([*KEY, "seq"]), p.min_chars)
+    rounds = [scratch.keep(first.withColumnsRenamed({"n": "c"}).withColumns({"head": F.col("c"), "tail": F.col("c")}))]
+    while not (pairs := scratch.keep(_pairs(rounds[-1], len(rounds) - 1, p))).isEmpty():
+        rounds.append(scratch.keep(_ranked(scratch, pairs, ["r", "r2"]).select("d", "th", "seq", F.col("rank").alias("r"), "c", "head", "tail", "lo", "hi")))
+    return rounds
+
+
+def _ahead(rows: DataFrame, k: int) -> DataFrame:
+    """Rows with `on`: those of the next 2^k lines."""
+    return rows.withColumn("on", F.collect_list(F.struct("seq", "r", "c", "tail")).over(Window.partitionBy(*KEY).orderBy("seq").rangeBetween(0, 1 << k)))
+
+
+def _pairs(rows: DataFrame, k: int, p: Params) -> DataFrame:
+    """Suffixes of round k with the rank of the suffix 2^k lines on, where 2^(k+1) lines can lie in a run that is looked at."""
+    both = _ahead(rows, k).withColumn("x", F.element_at("on", -1)).where(f"x.seq = seq + {1 << k}")
+    both = both.select("d", "th", "seq", "r", F.col("x.r").alias("r2"), (F.col("c") + F.col("x.c")).alias("c"), "head", F.col("x.tail").alias("tail"), "lo", "hi")
+    return both.where(F.col("c") - F.greatest("head", "tail") < p.min_chars)
+
+
+def _intervals(rows: DataFrame, k: int) -> DataFrame:
+    """d, th, seq, depth, and the pair of ranks that names the interval of that depth, for each depth from 2^k to 2^(k+1) - 1 that is looked at."""
+    low, high = 1 << k, (2 << k) - 1
+    some = f"lo <= {high} and hi >= {low}"
+    if not k:
+        return rows.where(some).select("d", "th", "seq", F.lit(1).alias("depth"), "r", F.col("r").alias("r2"))
+    each = _ahead(rows, k).where(some)
+    each = each.withColumn("depth", F.explode(F.sequence(F.greatest("lo", F.lit(low)), F.least("hi", F.lit(high)))))
+    there = F.filter("on", lambda x: x["seq"] == F.col("seq") + F.col("depth") - low)
+    return each.select("d", "th", "seq", "depth", "r", F.get(there, F.lit(0))["r"].alias("r2")).where("r2 is not null")
+
+
+def repeated_runs(scratch: Scratch, docs: DataFrame, p: Params = Params()) -> DataFrame:
     """d, th and the array `runs` of (a, b): lines a to b - 1 of the document repeat lines that came before."""
-    rounds = suffix_rounds(scratch, docs)
-    if not rounds:
-        return docs.sparkSession.createDataFrame([], "d long, th long, runs array<struct<a: int, b: int>>")
-    later = reduce(DataFrame.unionByName, [x.where("struct(d, th, seq) > first").select("d", "th", "seq", F.lit(k).alias("k"), F.col("first.d").alias("fd"), F.col("first.th").alias("fth"), (F.col("first.seq") - F.col("seq")).alias("gap")) for k, x in enumerate(rounds)])
-    one = [*KEY, "k", "fd", "fth", "gap"]
-    runs = later.withColumn("island", F.col("seq") - F.dense_rank().over(Window.partitionBy(*one).orderBy("seq")))
-    runs = runs.groupBy(*one, "island").agg(F.min("seq").alias("a"), (F.max("seq") + F.expr("shiftleft(1, k)")).alias("b"))
-    return runs.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-
-
-def cut(text: str, runs: list[dict], min_chars: int) -> tuple[str, int]:
-    """The text without the lines of the runs that are long enough, and how many lines went."""
+    rounds = suffix_rounds(scratch, docs, p)
+    each = scratch.keep(reduce(DataFrame.unionByName, [_intervals(x, k) for k, x in enumerate(rounds)]))
+    name = ["depth", "r", "r2"]
+    groups = scratch.keep(_shared(each, name))
+    later = hot_join(each, groups, name, "n_rows").where("struct(d, th, seq) > first").select("d", "th", F.col("seq").alias("a"), (F.col("seq") + F.col("depth")).alias("b"))
+    own = Window.partitionBy(*KEY).orderBy("a", "b")
+    reach = F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.withColumn("new", F.when(F.col("a") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*KEY, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return runs.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+
+
+def cut(text: str, runs: list[dict]) -> tuple[str, int]:
+    """The text without the lines of the runs, and how many lines went."""
     lines = text.split("\n")
-    bare = [x.strip(" ") for x in lines]
-    at = [i for i, x in enumerate(bare) if x]
-    upto = np.cumsum([0] + [len(bare[i]) for i in at])
-    gone = np.zeros(len(at) + 1, np.int64)
-    for r in runs:
-        if upto[r["b"]] - upto[r["a"]] >= min_chars:
-            gone[r["a"]] += 1
-            gone[r["b"]] -= 1
-    drop = {at[k] for k in np.flatnonzero(np.cumsum(gone)[:-1] > 0)}
-    return ("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text), len(drop)
+    at = [i for i, x in enumerate(lines) if x.strip(" ")]
+    drop = {at[k] for r in runs for k in range(r["a"], r["b"])}
+    return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(drop)
 
 
 def keep_lines(docs: DataFrame, scratch: Scratch, p: Params = Params()) -> DataFrame:
     """All rows as structs `row` with their text cut, with n_removed and n_left, the numbers of non-blank lines deleted and left."""
-    runs = repeated_runs(scratch, docs)
+    checked_id(docs, "doc_id")
+    runs = scratch.keep(repeated_runs(scratch, docs, p))
+    scratch.drop_all_but(runs)
     rows = docs.select(F.struct("*").alias("row"), *_keys())
     joined = rows.join(runs, KEY, "left").select("row", "runs")
     names, kinds = docs.columns, docs.schema
@@ -124,7 +149,7 @@ def keep_lines(docs: DataFrame, scratch: Scratch, p: Params = Params()) -> DataF
             cols = [row.field(i) for i in range(len(names))]
             text, removed = cols[at].to_pylist(), np.zeros(len(row), np.int32)
             for i in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)):
-                text[i], removed[i] = cut(text[i], found[i].as_py(), p.min_chars)
+                text[i], removed[i] = cut(text[i], found[i].as_py())
             left = np.array([sum(1 for x in (t or "").split("\n") if x.strip(" ")) for t in text], np.int32)
             cols[at] = pa.array(text, cols[at].type)
             if chars is not None:
@@ -140,17 +165,19 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_lines(docs, Scratch(spark)).select("row.doc_id", "row.text", "n_removed", "n_left")
 
 
+#: DuckDB; runs of every length that repeat, one line longer in each step.
 OP4_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, text, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: trim(x)) AS w FROM documents),
-k AS (SELECT 0 AS k, 1 AS n UNION ALL SELECT k + 1, 2 * n FROM k WHERE 2 * n <= (SELECT max(len(w)) FROM d)),
-win AS (SELECT doc_id, k, n, unnest(range(0, len(w) - n + 1)) AS seq, w FROM d, k WHERE n <= len(w)),
-id AS (SELECT doc_id, k, n, seq, md5(array_to_string(w[seq + 1 : seq + n], chr(10))) AS id FROM win),
-f AS (SELECT k, id, min({'doc': doc_id, 'seq': seq}) AS first FROM id GROUP BY k, id HAVING count(*) > 1),
-l AS (SELECT doc_id, k, n, seq, first.doc AS fd, first.seq - seq AS gap FROM id JOIN f USING (k, id) WHERE (doc_id, seq) > (first.doc, first.seq)),
-r AS (SELECT doc_id, k, n, seq, fd, gap, seq - row_number() OVER (PARTITION BY doc_id, k, fd, gap ORDER BY seq) AS island FROM l),
-runs AS (SELECT DISTINCT doc_id, min(seq) AS a, max(seq) + any_value(n) AS b FROM r GROUP BY doc_id, k, fd, gap, island),
-big AS (SELECT runs.* FROM runs JOIN d USING (doc_id) WHERE list_sum(list_transform(w[a + 1 : b], lambda x: length(x))) >= 40),
-gone AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS seq FROM big),
+ln AS (SELECT doc_id, unnest(w) AS line, generate_subscripts(w, 1) - 1 AS seq FROM d),
+one AS (SELECT doc_id, seq, md5(line) AS id, length(line) AS n, count(*) OVER (PARTITION BY line) AS c FROM ln),
+rep AS (
+  SELECT doc_id, seq, 1::BIGINT AS len, id, n::BIGINT AS chars, row_number() OVER (PARTITION BY id ORDER BY doc_id, seq) > 1 AS later FROM one WHERE c > 1
+  UNION ALL
+  SELECT doc_id, seq, len, id, chars, later FROM (
+    SELECT doc_id, seq, len, id, chars, row_number() OVER (PARTITION BY id ORDER BY doc_id, seq) > 1 AS later, count(*) OVER (PARTITION BY id) AS c
+    FROM (SELECT rep.doc_id, rep.seq, len + 1 AS len, md5(rep.id || one.id) AS id, chars + n AS chars FROM rep JOIN one ON one.doc_id = rep.doc_id AND one.seq = rep.seq + len)) WHERE c > 1),
+runs AS (SELECT doc_id, seq AS a, seq + max(len) AS b FROM rep WHERE later AND chars >= 40 GROUP BY doc_id, seq),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS seq FROM runs),
 ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 num AS (SELECT *, CASE WHEN trim(line) <> '' THEN sum(CASE WHEN trim(line) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 END AS seq FROM ls),
 res AS (SELECT num.doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.doc_id IS NULL) AS text, count(gone.doc_id) AS n_removed, count(*) FILTER (WHERE gone.doc_id IS NULL AND num.seq IS NOT NULL) AS n_left

@@ -194,25 +194,16 @@ def test_mix_holds_every_document(spark):
 
 
 def brute_lines(docs, min_chars):
-    """Text of each document without later copies of runs; windows of powers of two, as the intervals have them."""
+    """Text of each document without the lines of runs, of any length, that occur before."""
     lines = {d: [x.strip(" ") for x in t.split("\n") if x.strip(" ")] for d, t in docs}
-    gone = {d: set() for d in lines}
-    n = 1
-    while n <= max(map(len, lines.values()), default=0):
-        places = defaultdict(list)
-        for d in sorted(lines):
-            for i in range(len(lines[d]) - n + 1):
-                places[tuple(lines[d][i : i + n])].append((d, i))
-        later = {p: own[0] for own in places.values() for p in own[1:]}
-        for (d, i), (fd, fi) in later.items():
-            if later.get((d, i - 1)) == (fd, fi - 1):
-                continue
-            j = i
-            while later.get((d, j + 1)) == (fd, fi + j + 1 - i):
-                j += 1
-            if sum(len(x) for x in lines[d][i : j + n]) >= min_chars:
-                gone[d] |= set(range(i, j + n))
-        n *= 2
+    gone, seen = {d: set() for d in lines}, set()
+    for d in sorted(lines):
+        for i in range(len(lines[d])):
+            for j in range(i + 1, len(lines[d]) + 1):
+                run = tuple(lines[d][i:j])
+                if run in seen and sum(map(len, run)) >= min_chars:
+                    gone[d] |= set(range(i, j))
+                seen.add(run)
     out = {}
     for d, t in docs:
         k, kept = 0, []
@@ -239,6 +230,22 @@ def test_lines(spark, min_chars):
     assert all(r["n_left"] == sum(1 for x in r["row"]["text"].split("\n") if x.strip(" ")) for r in rows)
 
 
+def test_lines_of_a_run_whose_parts_occur_apart(spark):
+    a, b, c = (x * 14 for x in "abc")
+    docs = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, f"{a}\n{b}\n{c}")]
+    rows = ld.keep_lines(spark.createDataFrame(docs, DOCS), Scratch(spark)).collect()
+    assert {r["row"]["doc_id"]: r["n_removed"] for r in rows} == {1: 0, 2: 0, 3: 0, 4: 3}
+
+
+def test_lines_beside_a_long_one(spark):
+    """Short lines go with the long line beside them."""
+    long, docs = "x" * 50, []
+    for i, tail in enumerate((["y", "z"], ["y", "w"], ["z", "y"], ["v", "y"])):
+        docs.append((i, "\n".join(["y", "u", long, *tail] if i % 2 else ["u", long, *tail])))
+    rows = ld.keep_lines(spark.createDataFrame(docs, DOCS), Scratch(spark)).collect()
+    assert {r["row"]["doc_id"]: (r["row"]["text"], r["n_removed"]) for r in rows} == brute_lines(docs, 40)
+
+
 # 5. URL filter
 
 
