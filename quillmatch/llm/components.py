@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import Scratch
+from quillmatch.llm.common import Scratch, hot_join
 
 
-def _toward(edges: DataFrame, small: bool) -> DataFrame:
+def _toward(edges: DataFrame, small: bool, scratch: Scratch) -> DataFrame:
     """Connect neighbours of each node to the least of its neighbourhood: its larger ones, or (small) itself and its smaller ones."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n_rows")).withColumn("m", F.least("u", "m")))
+    joined = hot_join(both, least, ["u"], "n_rows")
     if small:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u != v").distinct()
+    out = scratch.keep(out.where("u != v").distinct())
+    scratch.drop(least)
+    return out
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -29,7 +31,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if state == seen:
             return now
         seen = state
-        large = scratch.keep(_toward(now, False))
-        nxt = scratch.keep(_toward(large, True))
+        large = _toward(now, False, scratch)
+        nxt = _toward(large, True, scratch)
         scratch.drop(now, large)
         now = nxt

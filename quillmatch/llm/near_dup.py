@@ -7,11 +7,15 @@ together far more often than two unrelated ones. Lists are expected to have at m
 by brute force. Enough independent trees are grown for a pair at the full distance to meet in a list with probability `recall`
 (nearer pairs meet more often). Of the levels, tau and centres that allow this, those that cost least for the number of distinct fingerprints are taken.
 
+In a list, the first fingerprints that no other reached yet are pivots: whatever is within the distance of one is linked to it. Then every fingerprint is
+compared with all of other components, so that a dense cluster costs a few passes and not all its pairs. A list that turns out larger than `block` fingerprints (a cluster that
+random centres don't split) isn't held by a task: it is cut into blocks, and each pair of blocks is compared in a task of its own.
+
 The links found in a list are reduced to a spanning forest, components are joined by stars, and the first document of
 each group (by doc_id) stays.
 
 * Null, empty and blank texts have no fingerprint and are in no group.
-* Null doc_ids order last. Repeated rows (same doc_id, same text) are one document; they stay or go together.
+* doc_id must be an integer type; null doc_ids order last, as does the largest 64-bit one, which is taken for null. Repeated rows (same doc_id, same text) are one document; they stay or go together.
   Rows with one doc_id and different texts are different documents, ordered by a hash of the text.
 * Further columns are ignored by duplicates() and passed through by keep_documents().
 """
@@ -27,19 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import read_table, Scratch, tidy
+from quillmatch.llm.common import LAST, Scratch, checked_id, hot_join, read_table, tidy
 from quillmatch.llm.components import components
 from quillmatch.llm.simhash import BITS, fingerprints
 
 STRIP = 32
-LAST = 9223372036854775807
+PIVOTS = 32
+#: What sending a fingerprint to a list costs, in comparisons.
+SENDING = 500
 
 
 @dataclass(frozen=True)
 class Params:
     distance: int = 24
     recall: float = 0.95
-    leaf: int = 400
+    leaf: int = 2000
+    block: int = 16384
     seed: int = 20240607
 
 
@@ -98,7 +105,7 @@ def plan(n: int, p: Params) -> Plan:
                 trees = max(1, ceil(log(1 - p.recall) / log1p(-alive))) if alive < 1 else 1
                 tests = trees * children * sum((children * q) ** k for k in range(levels))
                 copies = trees * (children * q) ** levels
-                cost = tests + copies * (150 + n * q**levels)  # in tests of one centre
+                cost = tests + copies * (SENDING + n * q**levels)  # in tests of one centre
                 if best is None or cost < best[0]:
                     best = cost, Plan(levels, tau, children, trees)
     return best[1]
@@ -127,30 +134,53 @@ def lists(x: np.ndarray, how: Plan, p: Params) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(who), np.concatenate(where)
 
 
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x[..., 0] ^ y[..., 0]) + np.bitwise_count(x[..., 1] ^ y[..., 1])
+
+
+def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (the first of each component) after links between i and j."""
+    while len(i):
+        a, b = label[i], label[j]
+        live = a != b
+        i, j, a, b = i[live], j[live], a[live], b[live]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+    return label
+
+
 def forest(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs within the distance, as links of each fingerprint to the first of its component."""
     n = len(x)
-    label = np.arange(n)
-    step = max(1, (1 << 21) // n)
-    for lo in range(0, n, step):
-        part = x[lo : lo + step]
-        rest = x[lo:]
-        far = np.bitwise_count(part[:, None, 0] ^ rest[:, 0]) + np.bitwise_count(part[:, None, 1] ^ rest[:, 1])
-        i, j = np.nonzero(far <= distance)
-        i, j = i + lo, j + lo
+    label, left = np.arange(n), np.ones(n, bool)
+    for _ in range(PIVOTS):
+        i = int(left.argmax())
+        if not n or not left[i]:
+            break
+        near = np.flatnonzero(_far(x, x[i]) <= distance)
+        label = _unite(label, np.full(len(near), i), near)
+        left[near] = False
+    order = np.argsort(label, kind="stable")
+    y, own = x[order], label[order]
+    ends = np.searchsorted(own, own, "right")
+    step = max(1, (1 << 21) // max(n, 1))
+    lo = 0
+    while lo < n and ends[lo] < n:  # rows of one component need only those after it
+        hi, rest = min(lo + step, n), int(ends[lo])
+        i, j = np.nonzero(_far(y[lo:hi, None], y[rest:]) <= distance)
+        i, j = i + lo, j + rest
         live = i < j
-        i, j = i[live], j[live]
-        while len(i):
-            a, b = label[i], label[j]
-            live = a != b
-            i, j, a, b = i[live], j[live], a[live], b[live]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label != label[label]).any():
-                label = label[label]
+        label = _unite(label, order[i[live]], order[j[live]])
+        lo = hi
     at = np.flatnonzero(label != np.arange(n))
     return at, label[at]
 
 
+def _keys() -> list:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("th")]
+
+
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """d, th, hi, lo of every document that has words."""
 
@@ -162,11 +192,10 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
             cols = [b.column("d"), b.column("th"), pa.array(fp[:, 0]), pa.array(fp[:, 1])]
             yield pa.RecordBatch.from_arrays(cols, ["d", "th", "hi", "lo"]).filter(pa.array(some))
 
-    keys = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("th"), "text")
-    return keys.mapInArrow(run, "d long, th long, hi long, lo long")
+    return docs.where("text is not null").select(*_keys(), "text").mapInArrow(run, "d long, th long, hi long, lo long")
 
 
-def links(points: DataFrame, how: Plan, p: Params) -> DataFrame:
+def links(points: DataFrame, how: Plan, p: Params, scratch: Scratch) -> DataFrame:
     """points (hi, lo), distinct -> u, v: links that connect all pairs found within the distance."""
 
     @tidy
@@ -178,63 +207,108 @@ def links(points: DataFrame, how: Plan, p: Params) -> DataFrame:
                 at, where = lists(np.ascontiguousarray(part).view(np.uint64), how, p)
                 yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(part[at, 0]), pa.array(part[at, 1])], ["list", "hi", "lo"])
 
+    sent = points.mapInArrow(spread, "list long, hi long, lo long").repartition("list").sortWithinPartitions("list")
+    found = scratch.keep(sent.mapInArrow(_search(p, p.block), FOUND))
+    large = found.where("list is not null").select("list", "block", "hi", "lo")
+    sizes = scratch.keep(large.groupBy("list").agg(F.count(F.lit(1)).alias("n_rows"), F.max("block").alias("most")))
+    out = found.where("list is null").select("u", "v")
+    if not sizes.isEmpty():
+        each = hot_join(large, sizes, ["list"], "n_rows").withColumn("other", F.explode(F.expr("filter(sequence(0, most), x -> x != block)")))
+        each = each.select(F.xxhash64("list", F.least("block", "other"), F.greatest("block", "other")).alias("list"), "hi", "lo")
+        out = out.unionByName(each.repartition("list").sortWithinPartitions("list").mapInArrow(_search(p, None), FOUND).select("u", "v"))
+    return out.distinct()
+
+
+FOUND = "list long, block int, hi long, lo long, u struct<hi: long, lo: long>, v struct<hi: long, lo: long>"
+
+
+def _search(p: Params, block: int | None):
+    """Of lists in order: the links in each, or, of one of more than `block` rows, its rows with the number of their block."""
+
+    def links_of(x: np.ndarray) -> pa.RecordBatch:
+        a, b = forest(np.ascontiguousarray(x).view(np.uint64), p.distance)
+        side = lambda k: pa.StructArray.from_arrays([pa.array(x[k, 0]), pa.array(x[k, 1])], ["hi", "lo"])
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.nulls(len(a), pa.int32()), none, none, side(a), side(b)], ["list", "block", "hi", "lo", "u", "v"])
+
+    def rows_of(x: np.ndarray, at: int, number: int) -> pa.RecordBatch:
+        none = pa.StructArray.from_arrays([pa.nulls(len(x), pa.int64())] * 2, ["hi", "lo"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), at)), pa.array(np.full(len(x), number, np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1]), none, none], ["list", "block", "hi", "lo", "u", "v"])
+
     @tidy
-    def search(batches):
-        def found(x):
-            a, b = forest(np.ascontiguousarray(x).view(np.uint64), p.distance)
-            return np.concatenate([x[a], x[b]], axis=1)
+    def run(batches):
+        held, size, number, held_at = [], 0, 0, None
+
+        def done():
+            if held:
+                x = np.concatenate(held)
+                yield rows_of(x, held_at, number) if number else links_of(x)
 
-        held, held_at = [], None
         for b in batches:
             at = b.column("list").to_numpy(zero_copy_only=False)
             if not len(at):
                 continue
             x = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in ("hi", "lo")], axis=1)
             cuts = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1, len(at)]
-            out = []
             for s, e in zip(cuts[:-1], cuts[1:]):
                 if at[s] != held_at:
-                    if held:
-                        out.append(found(np.concatenate(held)))
-                    held, held_at = [], at[s]
+                    yield from done()
+                    held, size, number, held_at = [], 0, 0, at[s]
+                while block and size + e - s > block:  # a full block goes out; the rest of the list follows in others
+                    held.append(x[s : s + block - size])
+                    s += block - size
+                    yield rows_of(np.concatenate(held), held_at, number)
+                    held, size, number = [], 0, number + 1
                 held.append(x[s:e])
-            yield _pairs(out)
-        if held:
-            yield _pairs([found(np.concatenate(held))])
+                size += e - s
+        yield from done()
 
-    kind = "u struct<hi: long, lo: long>, v struct<hi: long, lo: long>"
-    return points.mapInArrow(spread, "list long, hi long, lo long").repartition("list").sortWithinPartitions("list").mapInArrow(search, kind).distinct()
+    return run
 
 
-def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    x = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-    side = lambda k: pa.StructArray.from_arrays([pa.array(x[:, k]), pa.array(x[:, k + 1])], ["hi", "lo"])
-    return pa.RecordBatch.from_arrays([side(0), side(2)], ["u", "v"])
+def prints_of(docs: DataFrame, scratch: Scratch, whole: DataFrame | None) -> DataFrame:
+    """d, th, hi, lo of the documents: of their text, or of the one that `whole` has under the same doc_id, if it has just one."""
+    own = docs.select("doc_id", "text")
+    if whole is None:
+        return scratch.keep(fingerprint_table(own))
+    keys = scratch.keep(own.select(*_keys()))
+    first = fingerprint_table(whole.where("doc_id is not null").select("doc_id", "text"))
+    first = first.groupBy("d").agg(F.min(F.struct("th", "hi", "lo")).alias("a"), F.max(F.struct("th", "hi", "lo")).alias("b")).where("a = b").select("d", "a.hi", "a.lo")
+    known = scratch.keep(keys.join(first, "d").select("d", "th", "hi", "lo"))
+    others = scratch.keep(keys.distinct().join(known.select("d", "th"), ["d", "th"], "left_anti"))
+    if others.isEmpty():
+        return known
+    rest = own.select("*", *_keys()).join(others, ["d", "th"], "left_semi").select("doc_id", "text")
+    return scratch.keep(known.unionByName(fingerprint_table(rest)))
 
 
-def grouped(docs: DataFrame, scratch: Scratch, p: Params = Params()) -> DataFrame:
+def grouped(docs: DataFrame, scratch: Scratch, p: Params = Params(), whole: DataFrame | None = None) -> DataFrame:
     """d, th of every document that isn't the first of its group, with the d and th of that one (first)."""
-    prints = scratch.keep(fingerprint_table(docs))
+    checked_id(docs, "doc_id")
+    prints = prints_of(docs, scratch, whole)
     points = scratch.keep(prints.groupBy("hi", "lo").agg(F.min(F.struct("d", "th")).alias("first"), F.max(F.struct("d", "th")).alias("last")))
     how = plan(points.count(), p)
-    roots = components(links(points.select("hi", "lo"), how, p), scratch)
+    roots = components(links(points.select("hi", "lo"), how, p, scratch), scratch)
     roots = roots.select(F.col("u.hi").alias("hi"), F.col("u.lo").alias("lo"), F.col("v").alias("root"))
     own = points.join(roots, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
-    firsts = own.groupBy("root").agg(F.min("first").alias("kept"), F.max("last").alias("end")).where("kept != end").select("root", "kept")
-    members = own.join(firsts, "root").select("hi", "lo", "kept")
-    return prints.join(members, ["hi", "lo"]).where("struct(d, th) != kept").select("d", "th", "kept").distinct()
+    firsts = own.groupBy("root").agg(F.min("first").alias("kept"), F.max("last").alias("end"), F.count(F.lit(1)).alias("n_rows")).where("kept != end")
+    members = scratch.keep(hot_join(own, scratch.keep(firsts.select("root", "kept", "n_rows")), ["root"], "n_rows").select("hi", "lo", "kept"))
+    sizes = prints.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_rows"))
+    members = scratch.keep(members.join(sizes, ["hi", "lo"]))
+    out = scratch.keep(hot_join(prints, members, ["hi", "lo"], "n_rows").where("struct(d, th) != kept").select("d", "th", "kept").distinct())
+    scratch.drop_all_but(out)
+    return out
 
 
-def duplicates(docs: DataFrame, scratch: Scratch, p: Params = Params()) -> DataFrame:
+def duplicates(docs: DataFrame, scratch: Scratch, p: Params = Params(), whole: DataFrame | None = None) -> DataFrame:
     """doc_id and kept_id of every document that goes: the first of its group stays."""
-    return grouped(docs, scratch, p).select(F.expr(f"nullif(d, {LAST})").alias("doc_id"), F.expr(f"nullif(kept.d, {LAST})").alias("kept_id"))
+    return grouped(docs, scratch, p, whole).select(F.expr(f"nullif(d, {LAST})").alias("doc_id"), F.expr(f"nullif(kept.d, {LAST})").alias("kept_id"))
 
 
-def keep_documents(docs: DataFrame, scratch: Scratch, p: Params = Params()) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = grouped(docs, scratch, p).select("d", "th")
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("th"))
-    return rows.join(gone, ["d", "th"], "left_anti").select("row.*")
+def keep_documents(docs: DataFrame, scratch: Scratch, p: Params = Params(), whole: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns. `whole` (doc_id, text) has the texts to compare, for documents of which parts were cut out."""
+    gone = grouped(docs, scratch, p, whole).select("d", "th")
+    return docs.select(F.struct("*").alias("row"), *_keys()).join(gone, ["d", "th"], "left_anti").select("row.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,6 +355,51 @@ def test_near_groups(spark):
     assert kept == set(range(len(texts))) - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("radius,n", [(6, 3000), (14, 1500), (64, 300)])
+def test_forest_is_brute_force(radius, n):
+    """Dense clusters of fingerprints, loose ones and unrelated ones."""
+    rng = np.random.default_rng(radius)
+    bits = np.repeat(rng.integers(0, 2, (3, nd.BITS), dtype=np.uint8), n // 3, axis=0)
+    for row in bits:
+        row[rng.choice(nd.BITS, rng.integers(0, radius + 1), replace=False)] ^= 1
+    x = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    near = np.bitwise_count(x[:, None, 0] ^ x[:, 0]) + np.bitwise_count(x[:, None, 1] ^ x[:, 1]) <= 24
+    want, left = np.arange(n), np.ones(n, bool)
+    for i in range(n):
+        if left[i]:
+            own = todo = near[i] & left
+            while todo.any():
+                todo = near[todo].any(axis=0) & left & ~own
+                own = own | todo
+            want[own], left[own] = i, False
+    a, b = nd.forest(x, 24)
+    got = np.arange(n)
+    got[a] = b
+    assert (got == want).all()
+
+
+@pytest.mark.parametrize("how,block", [(None, 50), (nd.Plan(2, 9, 48, 60), 16384), (nd.Plan(2, 9, 48, 60), 40)])
+def test_near_links_are_brute_force(spark, how, block):
+    """A dense cluster, chains and single fingerprints, by deep plans and by blocks of lists."""
+    rng = np.random.default_rng(4)
+    bits = np.concatenate([np.repeat(rng.integers(0, 2, (1, nd.BITS), dtype=np.uint8), 300, axis=0), np.repeat(rng.integers(0, 2, (100, nd.BITS), dtype=np.uint8), 3, axis=0)])
+    for row in bits:
+        row[rng.choice(nd.BITS, rng.integers(0, 13), replace=False)] ^= 1
+    x = np.unique(np.packbits(bits, axis=1, bitorder="little").view(np.int64), axis=0)
+    points = spark.createDataFrame(pd.DataFrame(x, columns=["hi", "lo"]))
+    p, scratch = nd.Params(leaf=400, block=block), Scratch(spark)
+    roots = nd.components(nd.links(points, how or nd.Plan(0, 32, 1, 1), p, scratch), scratch).collect()
+    at = {tuple(v): i for i, v in enumerate(x.tolist())}
+    want, got = np.arange(len(x)), np.arange(len(x))
+    a, b = nd.forest(x.view(np.uint64), p.distance)
+    want[a] = b
+    for r in roots:
+        got[at[tuple(r["u"])]] = at[tuple(r["v"])]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i) if want[i] == want[j]]
+    met = sum(got[i] == got[j] for i, j in pairs) / len(pairs)
+    assert all(want[i] == want[got[i]] for i in range(len(x))) and (met == 1 if how is None else met > 0.95)
+
+
 def test_fingerprint_is_the_majority():
     from quillmatch.llm.common import gram, mix, runs, span_hash
 
