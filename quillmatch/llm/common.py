@@ -69,9 +69,20 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive a lost executor."""
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
         bounded_batches(spark)
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/quillmatch-{uuid.uuid4().hex}", 0
+        self.made.append(self)
+
+    @classmethod
+    def clear(cls, since: int) -> None:
+        """Delete the tables of all made after the first `since`, whose results have been written elsewhere."""
+        while len(cls.made) > since:
+            one = cls.made.pop()
+            if one.n:
+                one._delete(one.base)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and read it back; the path is on the returned frame as _scratch_path."""
