@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -141,37 +142,56 @@ def test_token_counts_with_edit_table(spark, counter):
 
 
 @pytest.mark.parametrize("q", [{"a": 1}, {"a": 3, "b": 5, "c": 2}, {"a": 400, "b": 1, "c": 99, "d": 500}, {"x": 7, "y": 7}])
-def test_mix_stays_within_one_block(q):
-    slots, period = mx.schedule(q), sum(q.values())
-    assert sorted(t for s in slots.values() for t in s) == list(range(period))
+def test_mix_meets_deadlines(q):
+    total = sum(q.values())
+    slots = mx.schedule(q, 3 * total)
+    assert sorted(t for s in slots.values() for t in s) == list(range(3 * total))
     for s, own in slots.items():
-        assert len(own) == q[s]
+        assert len(own) == 3 * q[s]
         for i, t in enumerate(own, 1):
-            assert (i - 1) * period // q[s] <= t < -(-i * period // q[s])
-        sent = np.searchsorted(own, np.arange(1, period + 1))
-        assert np.abs(sent - np.arange(1, period + 1) * q[s] / period).max() < 1
+            assert (i - 1) * total // q[s] <= t < -(-i * total // q[s])
+
+
+def deviation(q, targets, length):
+    """Blocks by which a source is off its target weight, at most, after any number of slots."""
+    out, slots = Fraction(0), mx.schedule(q, length)
+    assert sum(map(len, slots.values())) == length
+    for s, own in slots.items():
+        for i, t in enumerate(own):  # the extremes are just before and just after a block
+            out = max(out, abs(i - targets[s] * t), abs(i + 1 - targets[s] * (t + 1)))
+        out = max(out, abs(len(own) - targets[s] * length))
+    return out
+
+
+@pytest.mark.parametrize("weights,length", [({"a": 0.9995, "b": 0.0005}, 60_000), ({"hot": 0.7, **{f"s{i}": 0.3 / 2000 for i in range(2000)}}, 20_000), ({f"s{i}": random.Random(i).random() ** 3 for i in range(40)}, 30_000)])
+def test_mix_stays_within_one_block_of_target_weights(weights, length):
+    q = mx.quotas(dict.fromkeys(weights, 1), mx.Params(weights=weights))
+    total = sum(map(Fraction, weights.values()))
+    assert deviation(q, {s: Fraction(w) / total for s, w in weights.items()}, length) < 1
 
 
 @pytest.mark.parametrize("sizes,temperature", [({"hot": 3 * 10**8, **{f"s{i}": 10**7 for i in range(20)}}, 1.0), ({"hot": 10**9, **{f"s{i}": 10**6 for i in range(200)}}, 0.7), ({f"s{i}": 10**9 // (i + 1) for i in range(1500)}, 0.7)])
-def test_mix_stays_near_target_weights(sizes, temperature):
+def test_mix_stays_near_default_weights(sizes, temperature):
     p = mx.Params(temperature=temperature)
-    q, blocks = mx.quotas(sizes, p), {s: -(-n // p.block_chars) for s, n in sizes.items()}
-    slots, period, total = mx.schedule(q, mx.length_of(q, blocks)), sum(q.values()), sum((n + 1.0) ** temperature for n in sizes.values())
-    length = sum(len(own) for own in slots.values())
-    assert sorted(t for own in slots.values() for t in own) == list(range(length))
-    for s, own in slots.items():
-        assert len(own) >= blocks[s]
-        w, i = (sizes[s] + 1.0) ** temperature / total, np.arange(1, len(own) + 1)
-        at = np.asarray(own)
-        assert np.abs(np.r_[i - (at + 1) * w, i - 1 - at * w, len(own) - length * w]).max() < 1 + 1e-6
+    q = mx.quotas(sizes, p)
+    total = sum((n + 1.0) ** temperature for n in sizes.values())
+    assert all(abs(q[s] / sum(q.values()) - (sizes[s] + 1.0) ** temperature / total) < 1e-4 * q[s] / sum(q.values()) for s in q)
+    length = mx.length_of(q, {s: mx.blocks_of(n, p.block_chars) for s, n in sizes.items()})
+    assert deviation(q, {s: Fraction(n, sum(q.values())) for s, n in q.items()}, length) < 1
+
 
+def test_mix_blocks_grow_with_the_mix():
+    p = mx.Params(block_chars=100, max_slots=1000)
+    sizes = {"a": 10**7, "b": 10**6}
+    q = mx.quotas(sizes, p)
+    block = mx.block_size(sizes, q, p)
+    assert block > 100 and mx.length_of(q, {s: mx.blocks_of(n, block) for s, n in sizes.items()}) <= 1000
+    assert mx.block_size({"a": 5000}, {"a": 1}, p) == 100
 
-def test_mix_beyond_the_resolution_holds_every_document(spark):
+
+def test_mix_of_small_blocks_holds_every_document(spark):
     docs = read_table(spark, SF, "documents").select("doc_id", "text", "source")
-    p = mx.Params(block_chars=300)
-    sizes = {s: int(n) for s, n in docs.toPandas().assign(n=lambda x: x.text.str.len()).groupby("source").n.sum().items()}
-    assert sum(mx.quotas(sizes, p).values()) > 10**6
-    rows = mx.mix(docs, p).drop("text").toPandas()
+    rows = mx.mix(docs, mx.Params(block_chars=300)).drop("text").toPandas()
     assert set(rows[rows.epoch == 0].doc_id) == {r["doc_id"] for r in docs.collect()}
     assert (rows.groupby("slot").source.nunique() == 1).all()
 
