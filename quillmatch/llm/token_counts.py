@@ -1,17 +1,19 @@
 """Edit-aware token counts: a segment tree of pre-tokens for each document, of which edits redo only the part they touch.
 
-token_trees() encodes each text once. Its leaves are stretches of about `leaf_bytes` that begin with white space after a character that is none:
-the tokenizer's pattern never matches across such a place and doesn't look behind it, so the tokens of leaves add up to the tokens of the text. `tree` is a heap:
+token_trees() encodes each text once. Its leaves are stretches of about `leaf_chars` characters that begin where the tokenizer's pattern never matches across and doesn't look
+behind: with white space after a character that is none, or after a letter with a character that is no letter (so in texts without spaces, too). The tokens of leaves add up to the tokens of the text. `tree` is a heap:
 tree[1] is the total, tree[i] the sum of tree[2i] and tree[2i + 1], the second half are the leaves, and tree[0] is 0. `leaves` has the first character of each.
 
 recount() applies edits (start, end, replacement; offsets in characters of the text before any edit) to the leaves they touch. The new text of
 those leaves is encoded; where it doesn't begin (end) as a leaf must, the leaf before (after) is encoded with it, as
-boundary context. The sums above are then updated; leaves that were joined to another count 0.
+boundary context. The sums above are then updated; leaves that were joined to another are empty and count 0. If an edit makes a leaf of more than four times its size, that is split and the tree put together again
+from the counts of its leaves. The result has the new text, leaves and tree, so that further edits can follow.
 
 * Edits apply in order of start, longest first. One that overlaps an applied one, or has no start or end, is skipped; offsets are
   clipped to the text; a null replacement is an empty one.
-* Null and empty texts have 0 tokens and one leaf. A text without white space is one leaf, however long.
-* Repeated rows count each for itself. Further columns are ignored.
+* Null and empty texts have 0 tokens and one leaf. A text of one word, or of one run of white space, is one leaf, however long.
+* Runs of a thousand characters of white space or more go to the tokenizer as the one or two pre-tokens that the pattern makes of them, since its own matcher overflows on a million.
+* Repeated rows count each for itself. doc_id may have any type. Further columns are ignored.
 * The vocabulary file is read on the driver and sent to the workers (below 2 MB, whatever the corpus).
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,17 +31,20 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import read_table, tidy, utf8
+from quillmatch.llm.common import id_type, read_table, tidy, utf8
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EDITS = "array<struct<start: int, end: int, replacement: string>>"
+#: White space of the pattern; Python's has four control characters more.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_LONG = re.compile(f"[{WHITE}]{{1000,}}")
 
 
 @dataclass(frozen=True)
 class Params:
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     pattern: str = PATTERN
-    leaf_bytes: int = 256
+    leaf_chars: int = 256
 
 
 class Counter:
@@ -52,7 +58,12 @@ class Counter:
             self.size[v] = len(k)
 
     def tokens(self, text: str) -> list[int]:
-        return self.enc.encode_ordinary(text)
+        out, at = [], 0
+        for m in _LONG.finditer(text):
+            end = m.end() - (m.end() < len(text))  # the last character of a run goes with what follows
+            out += self.enc.encode_ordinary(text[at : m.start()]) + self.enc._encode_single_piece(text[m.start() : end].encode())
+            at = end
+        return out + self.enc.encode_ordinary(text[at:]) if at else self.enc.encode_ordinary(text)
 
     def count(self, text: str) -> int:
         return len(self.tokens(text))
@@ -74,19 +85,50 @@ def read_vocabulary(p: Params) -> bytes:
         return f.read()
 
 
-def build(text: str, c: Counter, leaf_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """First characters of the leaves, and the tree."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    before, here = raw[:-1], raw[1:]
-    at = np.flatnonzero((before > 32) & (before < 127) & ((here == 32) | (here == 10))) + 1
+_KINDS: list[np.ndarray] = []
+_SPACE, _LETTER, _OTHER = 1, 2, 4
+
+
+def _kinds() -> np.ndarray:
+    """What each code point is: white space, a letter, or surely none (by an early Unicode, whose letters are still letters)."""
+    if not _KINDS:
+        t = np.zeros(0x110000, np.uint8)
+        for c in range(0x110000):
+            if (kind := unicodedata.ucd_3_2_0.category(chr(c))) not in ("Cn", "Cs"):
+                t[c] = _LETTER if kind[0] == "L" else _OTHER
+        t[[ord(c) for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c)]] |= _SPACE
+        _KINDS.append(t)
+    return _KINDS[0]
+
+
+def _apart(before: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Whether a leaf can begin between two characters, given by their kinds."""
+    return (here & _SPACE > 0) & (before & _SPACE == 0) | (before & _LETTER > 0) & (here & _OTHER > 0)
+
+
+def _split(a: str, b: str) -> bool:
+    t = _kinds()
+    return bool(_apart(t[ord(a)], t[ord(b)]))
+
+
+def _stretches(text: str, c: Counter, leaf_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """First character and number of tokens of each leaf."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _kinds()[points]
+    at = np.flatnonzero(_apart(kind[:-1], kind[1:])) + 1
     if len(at):
-        bins = at // leaf_bytes
+        bins = at // leaf_chars
         at = at[np.r_[bins[0] > 0, bins[1:] != bins[:-1]]]
+    upto = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF))
     ends = np.cumsum(c.size[np.array(c.tokens(text), np.int64)])
-    upto = np.r_[0, np.searchsorted(ends, at, "right"), len(ends)]
-    heads = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw & 0xC0) != 0x80, out=heads[1:])
-    return np.r_[0, heads[at]], heap(np.diff(upto))
+    cuts = np.r_[0, np.searchsorted(ends, upto[at - 1], "right"), len(ends)]
+    return np.r_[0, at], np.diff(cuts)
+
+
+def build(text: str, c: Counter, leaf_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """First characters of the leaves, and the tree."""
+    leaves, counts = _stretches(text, c, leaf_chars)
+    return leaves, heap(counts)
 
 
 def heap(leaf: np.ndarray) -> np.ndarray:
@@ -110,8 +152,8 @@ def valid_edits(edits: list[dict], n: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def edit(text: str, leaves: np.ndarray, tree: np.ndarray, edits: list[dict], c: Counter) -> tuple[str, int, int]:
-    """The edited text, edits applied, and characters encoded; the tree is updated in place."""
+def edit(text: str, leaves: np.ndarray, tree: np.ndarray, edits: list[dict], c: Counter, leaf_chars: int) -> tuple[str, np.ndarray, np.ndarray, int, int]:
+    """The edited text, its leaves and tree, edits applied, and characters encoded."""
     todo, n, size = valid_edits(edits, len(text)), len(leaves), len(tree) // 2
     bound = np.append(leaves, len(text)).tolist()
     touched: list[list] = []  # first leaf, end leaf, edits
@@ -123,44 +165,58 @@ def edit(text: str, leaves: np.ndarray, tree: np.ndarray, edits: list[dict], c:
             touched[-1][2].append(e)
         else:
             touched.append([first, stop, [e]])
-    regions: list[tuple[int, int, str]] = []
-    for first, stop, inside in touched:
+    coming: list[tuple[int, int, str]] = []
+    for first, stop, inside in touched[::-1]:
         pieces, at = [], bound[first]
         for start, end, new in inside:
             pieces += [text[at:start], new]
             at = end
-        regions.append((first, stop, "".join([*pieces, text[at : bound[stop]]])))
+        coming.append((first, stop, "".join([*pieces, text[at : bound[stop]]])))
     final: list[tuple[int, int, str]] = []
-    coming = regions[::-1]
     while coming:
         first, stop, new = coming.pop()
-        while new and new[0] not in " \n" and first > 0:
-            if final and final[-1][1] == first:
-                first, _, before = final.pop()
-            else:
-                first -= 1
-                before = text[bound[first] : bound[first + 1]]
-            new = before + new
-        while new and new[-1].isspace() and stop < n:
+        while stop < n and (not new or not (coming and coming[-1][0] == stop) and not _split(new[-1], text[bound[stop] : bound[stop] + 1] or " ")):
             if coming and coming[-1][0] == stop:
                 _, stop, after = coming.pop()
             else:
                 after, stop = text[bound[stop] : bound[stop + 1]], stop + 1
             new += after
+        while first > 0:
+            beside = bool(final) and final[-1][1] == first
+            before = final[-1][2][-1:] if beside else text[bound[first] - 1] if bound[first] else ""
+            if before and new and _split(before, new[0]):
+                break
+            if beside:
+                first, _, before = final.pop()
+            else:
+                first -= 1
+                before = text[bound[first] : bound[first + 1]]
+            new = before + new
         final.append((first, stop, new))
-    parts, at, encoded, nodes = [], 0, 0, set()
+    long = any(len(new) > 4 * leaf_chars for _, _, new in final)
+    sizes, tree = np.diff(bound), tree.copy()
+    parts, new_sizes, counts, at, encoded, nodes = [], [], [], 0, 0, set()
     for first, stop, new in final:
         parts += [text[bound[at] : bound[first]], new]
+        if long:
+            own, number = _stretches(new, c, leaf_chars)
+            new_sizes += [sizes[at:first], np.diff(np.r_[own, len(new)])]
+            counts += [tree[size + at : size + first], number]
+        else:
+            tree[size + first : size + stop] = 0
+            tree[size + first] = c.count(new)
+            sizes[first:stop] = 0
+            sizes[first] = len(new)
+            nodes |= {(size + k) // 2 for k in range(first, stop)}
         at = stop
-        tree[size + first : size + stop] = 0
-        tree[size + first] = c.count(new)
         encoded += len(new)
-        nodes |= {(size + k) // 2 for k in range(first, stop)}
+    if long:
+        sizes, tree = np.concatenate([*new_sizes, sizes[at:]]), heap(np.concatenate([*counts, tree[size + at : size + n]]))
     while nodes := nodes - {0}:
         for k in nodes:
             tree[k] = tree[2 * k] + tree[2 * k + 1]
         nodes = {k // 2 for k in nodes}
-    return "".join([*parts, text[bound[at] :]]), len(todo), encoded
+    return "".join([*parts, text[bound[at] :]]), np.cumsum(sizes) - sizes, tree, len(todo), encoded
 
 
 def token_trees(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -173,39 +229,42 @@ def token_trees(docs: DataFrame, p: Params = Params()) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                made = [build(t, c, p.leaf_bytes) for t in utf8(part.column("text")).to_pylist()]
+                made = [build(t, c, p.leaf_chars) for t in utf8(part.column("text")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.int32()))], ["doc_id", "text", "leaves", "tree"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, leaves array<int>, tree array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs, 'doc_id')}, text string, leaves array<int>, tree array<int>")
+
 
+def recount(trees: DataFrame, edits: Column | Callable[[str], list[dict]], p: Params = Params(), carry: bool = True) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_after, n_edits, n_encoded and the tree (after) of every row; with carry, the text and leaves (after) too, so that it can be edited again.
 
-def recount(trees: DataFrame, edits: Column | Callable[[str], list[dict]], p: Params = Params()) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_after, n_edits, n_encoded, tree (after) of every row; `edits` is an array of (start, end, replacement), or a function that makes such from the text."""
+    `edits` is an array of (start, end, replacement), or a function that makes such from the text.
+    """
     shared = trees.sparkSession.sparkContext.broadcast(read_vocabulary(p))
     make = None if isinstance(edits, Column) else edits
+    ints = pa.list_(pa.int32())
 
     @tidy
     def run(batches):
         c = counter(shared.value, p.pattern)
         for b in batches:
-            before, done, encoded, after = [], [], [], []
+            rows = []
             todos = map(make, utf8(b.column("text")).to_pylist()) if make else b.column("edits").to_pylist()
             for text, leaves, tree, todo in zip(b.column("text").to_pylist(), b.column("leaves"), b.column("tree"), todos):
-                tree = tree.values.to_numpy().astype(np.int64)
-                before.append(tree[1])
-                d = e = 0
+                leaves, tree = leaves.values.to_numpy().astype(np.int64), tree.values.to_numpy().astype(np.int64)
+                before, d, e = tree[1], 0, 0
                 if todo:
-                    _, d, e = edit(text or "", leaves.values.to_numpy(), tree, todo, c)
-                done.append(d)
-                encoded.append(e)
-                after.append(tree)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(before, pa.int64()), pa.array([t[1] for t in after], pa.int64()), pa.array(done, pa.int32()), pa.array(encoded, pa.int64()), pa.array(after, pa.list_(pa.int32()))],
-                ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_encoded", "tree"],
-            )
+                    text, leaves, tree, d, e = edit(text or "", leaves, tree, todo, c, p.leaf_chars)
+                rows.append((before, tree[1], d, e, tree, leaves, text))
+            cols = [[r[k] for r in rows] for k in range(7)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), ints, ints, pa.string()]
+            names = ["n_tokens", "n_tokens_after", "n_edits", "n_encoded", "tree", "leaves", "text"]
+            most = 7 if carry else 5
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(cols[:most], kinds))], ["doc_id", *names[:most]])
 
     own = [] if make else [edits.alias("edits")]
-    return trees.select("doc_id", "text", "leaves", "tree", *own).mapInArrow(run, "doc_id long, n_tokens long, n_tokens_after long, n_edits int, n_encoded long, tree array<int>")
+    more = ", leaves array<int>, text string" if carry else ""
+    return trees.select("doc_id", "text", "leaves", "tree", *own).mapInArrow(run, f"doc_id {id_type(trees, 'doc_id')}, n_tokens long, n_tokens_after long, n_edits int, n_encoded long, tree array<int>{more}")
 
 
 def attach_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
@@ -226,4 +285,4 @@ def personal_data(text: str) -> list[dict]:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count every document, mask personal data by edits, and count again."""
-    return recount(token_trees(read_table(spark, sf_dir, "documents")), personal_data)
+    return recount(token_trees(read_table(spark, sf_dir, "documents")), personal_data, carry=False)

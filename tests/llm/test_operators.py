@@ -103,31 +103,57 @@ def counter():
     return tc.counter(tc.read_vocabulary(tc.Params()), tc.PATTERN)
 
 
+RUSSIAN = "Съешь же ещё этих мягких французских булок, да выпей чаю. "
+FRENCH = "L'été passé à Nîmes, la vérité a déjà gagné; où était-il né? "
+CHINESE = "你好，世界。今天天气很好，我们去公园散步吧！"
+AWKWARD = ["", "a", "no_space" * 50, "\n\n  x  \n", "日本語 " * 90, "a 1 b c  \t d" * 30, RUSSIAN * 12, FRENCH * 12, CHINESE * 20, "ไทย ภาษา" * 40, "x\u00a0y\u3000z \x1c!" * 30, "don't we'll 's 're" * 30, "!?" * 200 + "a" + "'s" * 50]
+
+
 def test_token_counts_after_random_edits(spark, counter):
-    texts = [r["text"] for r in read_table(spark, SF, "documents").limit(40).collect()] + ["", "a", "no_space" * 50, "\n\n  x  \n", "日本語 " * 90, "a 1 b c  \t d" * 30]
+    """Three rounds of edits, each of the text, leaves and tree that the one before left."""
+    texts = [r["text"] for r in read_table(spark, SF, "documents").limit(40).collect()] + AWKWARD * 4
     rng = random.Random(4)
     for text in texts:
         leaves, tree = tc.build(text, counter, 64)
         assert tree[1] == counter.count(text)
-        edits = []
-        for _ in range(rng.randrange(6)):
-            a = rng.randrange(len(text) + 1)
-            edits.append({"start": a, "end": min(len(text), a + rng.randrange(12)), "replacement": rng.choice(["", " ", "x", "  two words ", "\n", "9", "'s", None])})
-        plain, move = text, 0
-        for a, b, new in tc.valid_edits(edits, len(text)):
-            plain, move = plain[: a + move] + new + plain[b + move :], move + len(new) - (b - a)
-        edited, done, encoded = tc.edit(text, leaves, tree, edits, counter)
-        assert edited == plain and tree[1] == counter.count(plain)
-        size = len(tree) // 2
-        assert all(tree[i] == tree[2 * i] + tree[2 * i + 1] for i in range(1, size))
-        assert encoded <= len(plain)
-
-
-def test_token_counts_encode_only_near_edits(counter):
-    text = "some words and more of them " * 400
+        for _ in range(3):
+            edits = []
+            for _ in range(rng.randrange(6)):
+                a = rng.randrange(len(text) + 1)
+                edits.append({"start": a, "end": min(len(text), a + rng.choice([0, 1, 3, 12, 150])), "replacement": rng.choice(["", " ", "x", "  two words ", "\n", "9", "'s", None, "я", "，", "\u0301", "a long one " * 40])})
+            plain, move = text, 0
+            for a, b, new in tc.valid_edits(edits, len(text)):
+                plain, move = plain[: a + move] + new + plain[b + move :], move + len(new) - (b - a)
+            text, leaves, tree, done, encoded = tc.edit(text, leaves, tree, edits, counter, 64)
+            assert text == plain and tree[1] == counter.count(plain)
+            size = len(tree) // 2
+            assert all(tree[i] == tree[2 * i] + tree[2 * i + 1] for i in range(1, size))
+            ends = np.append(leaves, len(text))
+            assert [counter.count(text[a:b]) for a, b in zip(ends[:-1], ends[1:])] == tree[size : size + len(leaves)].tolist()
+
+
+@pytest.mark.parametrize("text", ["some words and more of them " * 400, RUSSIAN * 200, FRENCH * 200, CHINESE * 500])
+def test_token_counts_encode_only_near_edits(counter, text):
     leaves, tree = tc.build(text, counter, 256)
-    _, _, encoded = tc.edit(text, leaves, tree, [{"start": 5000, "end": 5004, "replacement": "that"}], counter)
-    assert 0 < encoded < 1200
+    for _ in range(2):
+        text, leaves, tree, _, encoded = tc.edit(text, leaves, tree, [{"start": 5000, "end": 5001, "replacement": "that"}], counter, 256)
+        assert 0 < encoded < 1200 and tree[1] == counter.count(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\u3000", " \t"])
+def test_token_counts_of_long_white_space(counter, run):
+    enc = counter.enc.encode_ordinary
+    for text in (run * 700 + "word", "a" + run * 3000, run * 2000 + "\n!", "x " + run * 1500 + " y" + run * 1200 + "9"):
+        assert counter.tokens(text) == enc(text)
+    assert counter.count("x" + run * (10_000_000 // len(run)) + "y") > 2
+
+
+def test_token_counts_edited_twice(spark, counter):
+    docs = spark.createDataFrame([("a", "one two three"), ("b", None), ("c", FRENCH)], "doc_id string, text string")
+    add = lambda t: [{"start": 0, "end": 0, "replacement": "x "}]
+    rows = {r["doc_id"]: r for r in tc.recount(tc.recount(tc.token_trees(docs), add), add).collect()}
+    assert {k: r["text"] for k, r in rows.items()} == {"a": "x x one two three", "b": "x x ", "c": "x x " + FRENCH}
+    assert all(r["n_tokens_after"] == counter.count(r["text"]) == r["n_tokens"] + counter.count(r["text"]) - counter.count(r["text"][2:]) for r in rows.values())
 
 
 def test_token_counts_with_edit_table(spark, counter):
