@@ -170,6 +170,18 @@ def texts(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
+#: Letters of scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+_ALONE = np.array([(0x0E01, 0x0E30), (0x0E81, 0x0EB0), (0x1000, 0x102A), (0x1780, 0x17B3), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)], np.uint32)
+
+
+def alone(points: np.ndarray) -> np.ndarray:
+    """Which code points are words of their own."""
+    if not len(points) or points.max() < _ALONE[0, 0]:
+        return np.zeros(len(points), bool)
+    at = np.searchsorted(_ALONE[:, 0], points, "right") - 1
+    return (at >= 0) & (points <= _ALONE[np.maximum(at, 0), 1])
+
+
 def _classes() -> np.ndarray:
     c = np.full(256, 2, np.uint8)
     c[list(b" \t\n\r\v\f")] = 0

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import defaultdict
 from fractions import Fraction
 
@@ -21,6 +22,7 @@ from quillmatch.llm import quality_rules as qr
 from quillmatch.llm import substring as ss
 from quillmatch.llm import token_counts as tc
 from quillmatch.llm import url_filter as uf
+from quillmatch.llm import common
 from quillmatch.llm.common import Scratch, read_table
 from quillmatch.llm.simhash import fingerprints
 from quillmatch.llm.url_labels import LABELLED
@@ -296,17 +298,49 @@ def test_lines_beside_a_long_one(spark):
 
 
 def test_urls_held_out():
+    """Sites that training hasn't seen, in five splits."""
     sites = defaultdict(list)
     for u, k in LABELLED:
         sites[re.search(r"//(?:www\.|m\.|blog\.)?([^./]+)", u)[1]].append((u, k))
-    names = sorted(sites)
-    random.Random(1).shuffle(names)
-    train, test = ([x for s in part for x in sites[s]] for part in (names[10:], names[:10]))
-    w = uf.fit([u for u, _ in train], [k for _, k in train])
-    s, _ = uf.predict(pa.array([u for u, _ in train]), w)
-    assert ((s >= 0.5) == np.array([k for _, k in train])).mean() > 0.99
-    s, _ = uf.predict(pa.array([u for u, _ in test]), w)
-    assert ((s >= 0.5) == np.array([k for _, k in test])).mean() > 0.7
+    names, found = sorted(sites), []
+    for seed in range(5):
+        random.Random(seed).shuffle(names)
+        train, test = ([x for s in part for x in sites[s]] for part in (names[60:], names[:60]))
+        w = uf.fit([u for u, _ in train], [k for _, k in train])
+        s, _ = uf.predict(pa.array([u for u, _ in train]), w)
+        assert ((s >= 0.5) == np.array([k for _, k in train])).mean() > 0.98
+        s, _ = uf.predict(pa.array([u for u, _ in test]), w)
+        y = np.array([k for _, k in test])
+        found.append(((s[y == 0] < 0.5).mean(), (s[y == 1] >= 0.5).mean()))
+    bad, good = np.mean(found, axis=0)
+    assert bad > 0.65 and good > 0.88
+
+
+def test_urls_are_brute_force(spark):
+    """Scores of every page, n-gram by n-gram."""
+    w = uf.fit_table(uf.labelled_urls(spark))
+    mask, table = (1 << 64) - 1, common._TABLE.tolist()
+
+    def scramble(x, seed):
+        x = (x + 0x9E3779B97F4A7C15 * (seed + 1)) & mask
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def bucket(gram, part):
+        h = table[gram[0]]
+        for c in gram[1:]:
+            h = scramble((h * 0xD6E8FEB86659FD93 + table[c]) & mask, 0)
+        return scramble(h, 31 + part) % (len(w) - 1)
+
+    pages = read_table(spark, SF, "pages")
+    got = {r["page_id"]: r["score"] for r in uf.score_urls(pages, w).collect()}
+    for r in pages.collect():
+        m = re.match(r"(?:[a-z][a-z0-9+.\-]*:)?//([^/?#]*)(.*)", r["url"].lower(), re.S)
+        parts = [f"^{x}$".encode() if x else b"" for x in (m[1].rpartition("@")[2].partition(":")[0], m[2])]
+        have = {bucket(t[i : i + n], k) for k, t in enumerate(parts) for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+        z = sum(w[b] for b in have) / len(have) ** 0.5 + w[-1]
+        assert got[r["page_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-8)
 
 
 def test_url_features_are_n_grams():
@@ -573,7 +607,7 @@ def test_leaks_are_brute_force(spark):
             a = rng.randrange(max(1, len(src) - 7))
             w[20:20] = src[a : a + rng.randrange(5, 25)]
         docs.append((i, rng.choice([" ", ", ", "  -\n"]).join(w).title()))
-    docs += [(60, "xx ÜNÏ cödé; ÉTÉ... à nîmes (42) FOIS yy"), (61, items[2][1]), (62, None), (63, "")]
+    docs += [(60, "xx ÜNÏ cödé; ÉTÉ... à nîmes (42) FOIS yy"), (61, items[2][1]), (62, None), (63, ""), (64, f"({items[3][1]}!)"), (65, items[3][1] + " more")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     p = dc.Params()
     rows = dc.find_leaks(spark.createDataFrame(docs, DOCS), bench, p).collect()
@@ -585,6 +619,8 @@ def test_leaks_are_brute_force(spark):
         for item, t in items:
             own = re.findall(r"[^\W_]+", (t or "").lower())
             if len(own) < p.min_words:
+                if own and [x[2] for x in found] == own:
+                    want.add((d, item, found[0][0], found[-1][1], len(own)))
                 continue
             size = min(p.window, len(own))
             wins = {tuple(own[k : k + size]) for k in range(len(own) - size + 1)}
@@ -603,6 +639,20 @@ def test_leaks_are_brute_force(spark):
     assert {(r["doc_id"], r["item_id"], r["start"], r["end"], r["n_words"]) for r in shards} == want
 
 
+def test_leaks_in_any_normal_form_and_script(spark):
+    question = "Où était né l'élève Ångström, à Nîmes ou à Besançon?"
+    chinese = "中国古代四大发明对世界文明的发展有什么样的影响呢"
+    bench = spark.createDataFrame([("q", question), ("z", chinese), ("short", "四大")], "item_id string, text string")
+    apart = unicodedata.normalize("NFD", "xé " + question + " é")
+    docs = [(1, "é " + question), (2, apart), (3, "他问：" + chinese[2:21] + "。好"), (4, chinese[:9]), (5, "在四大里"), (6, "四大。"), (7, question.replace("Å", "A"))]
+    rows = dc.find_leaks(spark.createDataFrame(docs, "doc_id int, text string"), bench).collect()
+    got, texts = {(r["doc_id"], r["item_id"]): (r["start"], r["end"]) for r in rows}, dict(docs)
+    assert set(got) == {(1, "q"), (2, "q"), (3, "z"), (6, "short")}
+    for (d, _), want in {(1, "q"): question[:-1], (2, "q"): unicodedata.normalize("NFD", question)[:-1], (3, "z"): chinese[2:21], (6, "short"): "四大"}.items():
+        a, b = next(v for k, v in got.items() if k[0] == d)
+        assert texts[d][a:b] == want
+
+
 # 10. Quality classifier
 
 
