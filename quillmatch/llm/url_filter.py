@@ -1,11 +1,11 @@
 """URL filter: logistic regression on hashed character n-grams of host and path.
 
 The host (without user and port) and the rest of the URL are lower-cased, put between marks, and cut into n-grams of 3 to 5 bytes, hashed with the part they come from into `buckets`; a URL is the set of its buckets, scaled to
-length 1. The model is trained to convergence on the driver, from a small table of labelled URLs of which at most `max_rows` count, lowest MD5 first.
+length 1. The model is trained to convergence on the driver, from a small table of labelled URLs of which at most `max_rows` rows count, lowest MD5 first.
 
 * A null or empty URL has no features: score null, keep false.
 * Repeated rows each get the same score. A URL labelled both ways counts both ways. Without rows of both labels only the prior counts, and every URL is kept.
-* Further columns are ignored.
+* page_id may have any type. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import _TABLE, gram, mix, read_table, texts, tidy, utf8
+from quillmatch.llm.common import _TABLE, gram, id_type, mix, read_table, texts, tidy, utf8
 from quillmatch.llm.url_labels import LABELLED
 
 _U = np.uint64
@@ -92,7 +92,7 @@ def score_urls(pages: DataFrame, w: np.ndarray, p: Params = Params()) -> DataFra
             s, n = predict(b.column("url"), shared.value)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(s, mask=n == 0), pa.array((n > 0) & (s >= p.threshold))], ["page_id", "url", "score", "keep"])
 
-    return pages.select("page_id", "url").mapInArrow(run, "page_id long, url string, score double, keep boolean")
+    return pages.select("page_id", "url").mapInArrow(run, f"page_id {id_type(pages, 'page_id')}, url string, score double, keep boolean")
 
 
 def fit_table(labelled: DataFrame, p: Params = Params()) -> np.ndarray:
@@ -101,5 +101,10 @@ def fit_table(labelled: DataFrame, p: Params = Params()) -> np.ndarray:
     return fit([r["url"] for r in rows], [int(r["label"]) for r in rows], p)
 
 
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The table (url, label) that comes with the filter."""
+    return spark.createDataFrame(LABELLED, "url string, label int")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_urls(read_table(spark, sf_dir, "pages"), fit([u for u, _ in LABELLED], [k for _, k in LABELLED]))
+    return score_urls(read_table(spark, sf_dir, "pages"), fit_table(labelled_urls(spark)))
