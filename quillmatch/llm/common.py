@@ -196,8 +196,8 @@ CLASS = _classes()
 SPACE_OR_WORD = (CLASS > 0).astype(np.uint8)
 
 
-def runs(buf: np.ndarray, offs: np.ndarray, classes: np.ndarray = SPACE_OR_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every maximal run of one class other than 0; runs end where rows do."""
+def runs(buf: np.ndarray, offs: np.ndarray, classes: np.ndarray = SPACE_OR_WORD, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every maximal run of one class other than 0; runs end where rows do, and at `cuts`."""
     if not len(buf):
         e = np.zeros(0, np.int64)
         return e, e, e
@@ -205,6 +205,8 @@ def runs(buf: np.ndarray, offs: np.ndarray, classes: np.ndarray = SPACE_OR_WORD)
     cut = np.empty(len(buf) + 1, bool)
     np.not_equal(c[1:], c[:-1], out=cut[1:-1])
     cut[offs] = True
+    if cuts is not None:
+        cut[cuts] = True
     cut[0] = cut[-1] = True
     at = np.flatnonzero(cut)
     start, end = at[:-1], at[1:]

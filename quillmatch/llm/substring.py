@@ -11,7 +11,7 @@ Deleting the spans with is_copy leaves every repeated window in the corpus once.
 
 * Words are compared exactly, white space isn't. Texts of fewer than `window` words, null and empty ones have no windows.
 * Repetitions within one document count. Spans may overlap each other where a window of copies begins within an original.
-* Null doc_ids order last. Repeated rows (same doc_id, same text) are one document and don't repeat themselves. Rows with one doc_id and different
+* doc_id must be an integer type; null doc_ids order last, as does the largest 64-bit one, which is taken for null. Repeated rows (same doc_id, same text) are one document and don't repeat themselves. Rows with one doc_id and different
   texts are different documents, ordered by a hash of the text.
 * Further columns are ignored.
 """
@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import Scratch, _powers, gram, mix, read_table, runs, span_hash, texts, tidy
+from quillmatch.llm.common import LAST, Scratch, _powers, checked_id, gram, mix, read_table, runs, span_hash, texts, tidy
 
-LAST = 9223372036854775807
 _U = np.uint64
 
 
@@ -212,6 +211,7 @@ def counted(windows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, p: Params = Params()) -> DataFrame:
+    checked_id(docs, "doc_id")
     keys = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("th"), "text")
     sent = keys.mapInArrow(_emit(p), "bucket long, d long, th long, w0 int, c0 int, multi boolean, packed binary").repartition("bucket").sortWithinPartitions("bucket", "d", "th", "w0")
     found = scratch.keep(sent.mapInArrow(_sort_buckets(p), PIECES))
