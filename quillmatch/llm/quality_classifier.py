@@ -5,12 +5,12 @@ table of `width` numbers; their mean over a passage, through a tanh layer, is th
 a = softmax(w (tanh(V h) * sigmoid(U h))) over all passages of the document weighs them, and the weighted sum of the h is scored by a logistic layer.
 Table, layers and attention are learned together from the labels of documents, by gradient descent (Adam) from a fixed seed.
 
-The model is fitted on at most `max_labelled` labelled documents of each class, lowest MD5 of the id first, whole. All documents are scored, with all their passages.
+The model is fitted on at most `max_labelled` labelled rows of each class, lowest MD5 of the id first, whole. All documents are scored, with all their passages.
 
 Result: doc_id, score (probability of good quality), keep (score >= threshold), n_passages, top_passage (index of the one with most attention) and top_weight.
 
 * Null, empty and blank texts have no passages: score, top_passage and top_weight null, keep false.
-* Repeated rows each get the same score. Further columns are ignored.
+* Repeated rows each get the same score. doc_id may have any type. Further columns are ignored.
 * If the labels are all of one class the score is that class's for every document with a passage; without labelled documents it is 0.5, and
   they are kept.
 """
@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import read_table, texts, tidy
-from quillmatch.llm.quality_rules import Params as RuleParams
-from quillmatch.llm.quality_rules import labelled_ids, token_features
+from quillmatch.llm.common import id_type, read_table, texts, tidy
+from quillmatch.llm.quality_rules import at_most, labelled_ids, token_features
 
-SCHEMA = "doc_id long, score double, keep boolean, n_passages int, top_passage int, top_weight double"
+SCHEMA = "doc_id {}, score double, keep boolean, n_passages int, top_passage int, top_weight double"
 
 
 @dataclass(frozen=True)
@@ -175,12 +174,12 @@ def score(docs: DataFrame, m: dict[str, np.ndarray], p: Params = Params()) -> Da
             none = n == 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, mask=none), pa.array(~none & (s >= p.threshold)), pa.array(n), pa.array(top, mask=none), pa.array(w, mask=none)], ["doc_id", "score", "keep", "n_passages", "top_passage", "top_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA.format(id_type(docs, "doc_id")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> dict[str, np.ndarray]:
-    ids = labelled_ids(labels, RuleParams(max_labelled=p.max_labelled))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()  # at most max_labelled of each class
+    known = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(labelled_ids(labels, p.max_labelled)), "doc_id")
+    rows = at_most(known, p.max_labelled, F.md5(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text")).collect()
     rows = sorted(((r["quality"], r["doc_id"], r["text"]) for r in rows))
     return fit_texts([t for q, _, t in rows if q == 1], [t for q, _, t in rows if q == 0], p)
 
