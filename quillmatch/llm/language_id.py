@@ -1,18 +1,18 @@
 """Language ID of words in code-switched text: a linear-chain conditional random field.
 
-A word is a run of letters and digits, lower-cased. Its features are hashed prefixes and suffixes of up to three bytes, its n-grams of two and three bytes
+A word is a run of letters, marks and digits, lower-cased; a letter of a script without spaces (Han, kana, Thai, Lao, Khmer, Burmese) is a word of its own. Its features are hashed prefixes and suffixes of up to three bytes, its n-grams of two and three bytes
 (between marks), and its place in a lexicon: the words that the training text has `lexicon_min` times, nearly always in one language.
 Transition and start weights are learned with the feature weights by maximum likelihood, on sequences put together from stretches of documents of
 different languages, so that switches are seen. Forward-backward gives each word the exact marginals over its whole document: blocks of
 words are reduced to transfer matrices, these are chained, and the messages then run inside all blocks at once.
 
-The model is fitted on at most `max_docs` labelled documents of each language (lowest MD5 of the id), and on all languages. Every document is
+The model is fitted on at most `max_docs` labelled rows of each language (lowest MD5 of the id), and on all languages. Every document is
 labelled, in whole. The blocks of a document need memory in proportion to the square of the number of languages.
 
 Result: doc_id, lang (of most words; ties: first in the alphabet), n_words, confidence (mean of the best marginal), n_switches, and spans (start, end, lang), in
 characters, from the first letter of a run of words of one language to the last.
 
-* Null, empty and wordless texts: lang and confidence null, no spans. Repeated rows each get the same result. Further columns are ignored.
+* Null, empty and wordless texts: lang and confidence null, no spans. Repeated rows each get the same result. doc_id may have any type. Further columns are ignored.
 * With one language all words have it; without labelled documents that language is `und`. An empty table gives an empty result.
 """
 
@@ -26,12 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import _TABLE, CHUNK_BYTES, CLASS, mix, read_table, runs, span_hash, texts, tidy, utf8
+from quillmatch.llm.common import _TABLE, CHUNK_BYTES, CLASS, alone, id_type, mix, read_table, runs, span_hash, texts, tidy, utf8
 
 _U = np.uint64
 WORD = (CLASS == 1).astype(np.uint8)
 BLOCK = 32
-SCHEMA = "doc_id long, lang string, n_words int, confidence double, n_switches int, spans array<struct<start: int, end: int, lang: string>>"
+SCHEMA = "doc_id {}, lang string, n_words int, confidence double, n_switches int, spans array<struct<start: int, end: int, lang: string>>"
 
 
 @dataclass(frozen=True)
@@ -183,17 +183,29 @@ def marginals(e: np.ndarray, row: np.ndarray, m: Model) -> np.ndarray:
 
 
 def _lower(column: pa.Array) -> pa.Array:
-    """Lower case where that keeps the length in characters, so that offsets hold."""
-    text = utf8(column)
-    low = pc.utf8_lower(text)
-    return pc.if_else(pc.equal(pc.utf8_length(low), pc.utf8_length(text)), low, text)
+    """Lower case, which maps each character to one, and a space for each character beyond ASCII that is no letter, mark or digit: offsets in characters hold."""
+    return pc.replace_substring_regex(pc.utf8_lower(utf8(column)), r"[^\p{L}\p{M}\p{N}\x00-\x7F]", " ")
+
+
+def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word."""
+    at = np.flatnonzero(buf >= 0xE0)
+    cuts = None
+    if len(at):
+        more = [buf[np.minimum(at + k, len(buf) - 1)].astype(np.uint32) & 63 for k in (1, 2, 3)]
+        three = (buf[at].astype(np.uint32) & 15) << 12 | more[0] << 6 | more[1]
+        four = (buf[at].astype(np.uint32) & 7) << 18 | more[0] << 12 | more[1] << 6 | more[2]
+        wide = buf[at] >= 0xF0
+        own = alone(np.where(wide, four, three))
+        cuts = np.r_[at[own], (at + 3 + wide)[own]]
+    return runs(buf, offs, WORD, cuts)
 
 
 def label(column: pa.Array, m: Model):
     """For each piece of the column: first row, rows, row of each word, label, marginal, and characters from and to."""
     limit = max(1, CHUNK_BYTES * 256 // max(256, len(m.labels) ** 2))
     for lo, hi, buf, offs in texts(_lower(column), limit):
-        start, end, row = runs(buf, offs, WORD)
+        start, end, row = words(buf, offs)
         p = marginals(emissions(buf, start, end, m), row, m)
         heads = np.zeros(len(buf) + 1, np.int64)
         np.cumsum((buf & 0xC0) != 0x80, out=heads[1:])
@@ -211,7 +223,7 @@ def identify(docs: DataFrame, m: Model) -> DataFrame:
         for b in batches:
             for lo, hi, row, y, p, start, end in label(b.column("text"), m):
                 n = hi - lo
-                words = np.bincount(row, minlength=n)
+                number = np.bincount(row, minlength=n)
                 votes = np.bincount(row * k + y, minlength=n * k).reshape(n, k)
                 cut = np.ones(len(row), bool)
                 cut[1:] = (row[1:] != row[:-1]) | (y[1:] != y[:-1])
@@ -219,13 +231,13 @@ def identify(docs: DataFrame, m: Model) -> DataFrame:
                 j = np.append(i[1:], len(row))[: len(i)] - 1
                 spans = pa.StructArray.from_arrays([pa.array(start[i].astype(np.int32)), pa.array(end[j].astype(np.int32)), names.take(pa.array(y[i]))], ["start", "end", "lang"])
                 each = np.bincount(row[i], minlength=n)
-                none = words == 0
+                none = number == 0
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, n), names.take(pa.array(votes.argmax(axis=1), mask=none)), pa.array(words.astype(np.int32)), pa.array(np.round(np.bincount(row, p, n) / np.maximum(words, 1), 6), mask=none), pa.array(np.maximum(each - 1, 0).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)].astype(np.int32)), spans)],
+                    [b.column("doc_id").slice(lo, n), names.take(pa.array(votes.argmax(axis=1), mask=none)), pa.array(number.astype(np.int32)), pa.array(np.round(np.bincount(row, p, n) / np.maximum(number, 1), 6), mask=none), pa.array(np.maximum(each - 1, 0).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)].astype(np.int32)), spans)],
                     ["doc_id", "lang", "n_words", "confidence", "n_switches", "spans"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA.format(id_type(docs, "doc_id")))
 
 
 def sample(docs: DataFrame, p: Params) -> list[tuple[str, str]]:
@@ -233,7 +245,8 @@ def sample(docs: DataFrame, p: Params) -> list[tuple[str, str]]:
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     first = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     ids = known.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= p.max_docs).drop("n")
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).collect()
+    found = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])  # at most max_docs ids of each language, of which some may be repeated
+    rows = found.withColumn("n", F.row_number().over(first.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text")))).where(F.col("n") <= p.max_docs).collect()
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"]))]
 
 
@@ -244,14 +257,14 @@ def fit(rows: list[tuple[str, str]], p: Params = Params()) -> Model:
     column = _lower(pa.array([t for _, t in rows], pa.large_string()))
     buf = np.frombuffer(b"".join(x.encode() for x in column.to_pylist()), np.uint8)
     offs = np.r_[0, np.cumsum(pc.binary_length(column).to_numpy())].astype(np.int64)
-    start, end, row = runs(buf, offs, WORD)
+    start, end, row = words(buf, offs)
     y = np.array([code[x] for x, _ in rows])[row] if len(row) else row
     h = span_hash(buf, start, end)
-    words, inverse = np.unique(h, return_inverse=True)
-    votes = np.bincount(inverse * k + y, minlength=len(words) * k).reshape(-1, k)
+    known_words, inverse = np.unique(h, return_inverse=True)
+    votes = np.bincount(inverse * k + y, minlength=len(known_words) * k).reshape(-1, k)
     share = votes / np.maximum(votes.sum(axis=0), 1)
     known = (votes.sum(axis=1) >= p.lexicon_min) & (share.max(axis=1) >= 0.9 * share.sum(axis=1))
-    lexicon, meaning = words[known], share[known].argmax(axis=1)
+    lexicon, meaning = known_words[known], share[known].argmax(axis=1)
     # sequences: stretches of 4 to 31 words, languages in turn at random, cut to equal length
     pools = [np.flatnonzero(y == i) for i in range(k)]
     used, parts, total = [0] * k, [], 0

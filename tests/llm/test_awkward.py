@@ -153,6 +153,33 @@ def test_classifier(spark, docs, none):
     assert qc.score(none, m).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_ids_of_other_types(spark, kind):
+    docs = spark.createDataFrame(rows(), SCHEMA).withColumn("doc_id", F.col("doc_id").cast(kind))
+    labels = docs.select("doc_id", (F.length("text") % 2).alias("quality"))
+    bench = spark.createDataFrame([("1", PASSAGE)], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    p = li.Params(max_docs=3)
+    found = [
+        tc.recount(tc.token_trees(docs), tc.personal_data), qr.score(docs, qr.fit(spark, docs, labels)), li.identify(docs, li.fit(li.sample(docs, p), p)),
+        dc.find_leaks(docs, bench), qc.score(docs, qc.fit(docs, labels)), mx.mix(docs, mx.Params(block_chars=5000)),
+    ]
+    assert all(f.schema["doc_id"].dataType.simpleString() == kind and f.count() for f in found)
+    for run in (ss.repeated_spans, ld.keep_lines, nd.duplicates):
+        if kind == "int":
+            assert run(docs, Scratch(spark)).count()
+        else:
+            with pytest.raises(TypeError):
+                run(docs, Scratch(spark))
+
+
+def test_fits_are_bounded_by_rows(spark):
+    """An id that is repeated, with other texts, brings no more rows than the bound."""
+    docs = spark.range(400).selectExpr("id % 2 doc_id", "concat('text number ', id) text", "if(id % 2 = 0, 'en', 'fr') lang")
+    assert len(li.sample(docs, li.Params(max_docs=7))) == 14
+    known = docs.selectExpr("doc_id", "text", "int(doc_id) quality")
+    assert qr.at_most(known, 5, "doc_id", "text").count() == 10
+
+
 def test_scratch_tables_go(spark):
     s = Scratch(spark)
     one = s.keep(spark.range(5))

@@ -593,6 +593,42 @@ def test_language_switches(spark, crf):
     assert named["en", False] > 0.8 * len(first.strip()) and named["fr", True] > 0.8 * len(second.strip())
 
 
+def test_language_spans_are_brute_force(spark, crf):
+    """Words one by one, their features and the chain without blocks."""
+    docs, m = crf
+    texts = [r["text"] for r in docs.where("doc_id % 2 = 1").limit(12).collect()] + ["“Ünï—cödé” l’été 42, déjà vu…", "ab 你好。cd", "ไทยx", "", "..."]
+    got = {r["doc_id"]: r for r in li.identify(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string"), m).collect()}
+    for i, text in enumerate(texts):
+        found = [(a.start(), a.end(), a[0].lower()) for a in re.finditer(r"[ก-ะ\u4e00-\u9fff]|[^\W_ก-ะ\u4e00-\u9fff]+", text)]
+        r = got[str(i)]
+        assert r["n_words"] == len(found)
+        if not found:
+            assert r["lang"] is None and r["spans"] == []
+            continue
+        e = []
+        for _, _, w in found:
+            raw = np.frombuffer(w.encode(), np.uint8)
+            e.append(li.emissions(raw, np.array([0]), np.array([len(raw)]), m)[0].astype(float))
+        a, b = [m.start + e[0]], [np.zeros(len(m.labels))]
+        for x in e[1:]:
+            a.append(np.logaddexp.reduce(a[-1][:, None] + m.step, axis=0) + x)
+        for x in e[:0:-1]:
+            b.insert(0, np.logaddexp.reduce(m.step + (x + b[0])[None], axis=1))
+        post = np.exp(np.array(a) + np.array(b) - np.logaddexp.reduce(a[-1]))
+        y = post.argmax(axis=1)
+        clear = np.abs(np.sort(post, axis=1)[:, -1] - np.sort(post, axis=1)[:, -2]) > 1e-3
+        if clear.all():
+            spans = []
+            for (s, t, _), k in zip(found, y):
+                if spans and spans[-1][2] == m.labels[k]:
+                    spans[-1][1] = t
+                else:
+                    spans.append([s, t, m.labels[k]])
+            assert [[x["start"], x["end"], x["lang"]] for x in r["spans"]] == spans and r["n_switches"] == len(spans) - 1
+            assert r["lang"] == m.labels[np.bincount(y, minlength=len(m.labels)).argmax()]
+        assert r["confidence"] == pytest.approx(post.max(axis=1).mean(), abs=2e-3)
+
+
 # 9. Decontamination
 
 
@@ -700,6 +736,28 @@ def test_classifier_batches_don_t_matter():
     assert whole[1].tolist() == [1, 1, 1, 1, 2, 4, 0, 0, 0]
 
 
+def test_classifier_is_brute_force(spark):
+    """Passage by passage, feature by feature."""
+    docs = read_table(spark, SF, "documents").limit(60)
+    p = qc.Params(passage=20)
+    m = qc.fit(docs, read_table(spark, SF, "labels"), p)
+    got = {r["doc_id"]: r for r in qc.score(docs, m, p).collect()}
+    for r in docs.collect():
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        row, parts = qr.token_features(raw, np.array([0, len(raw)]), p.buckets)
+        own = defaultdict(list)
+        for f, at in parts:
+            for x, t in zip(f, at):
+                own[int(t) // p.passage].append(m["table"][x].astype(float))
+        h = [np.tanh(np.mean(own[k], axis=0) @ m["w1"] + m["b1"]) for k in sorted(own)]
+        s = np.array([(np.tanh(x @ m["v"]) / (1 + np.exp(-(x @ m["u"])))) @ m["w"] for x in h])
+        a = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        want = 1 / (1 + np.exp(-((a[:, None] * np.array(h)).sum(axis=0) @ m["c"] + m["c0"][0])))
+        assert got[r["doc_id"]]["n_passages"] == len(h) == -(-len(row) // p.passage)
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-4)
+        assert got[r["doc_id"]]["top_weight"] == pytest.approx(a.max(), abs=1e-4) and a[got[r["doc_id"]]["top_passage"]] == pytest.approx(a.max(), abs=1e-4)
+
+
 def test_oracle_tables(spark):
     """The SQL of the two operators that have it, on the smallest tables."""
     duckdb = pytest.importorskip("duckdb")
