@@ -141,7 +141,7 @@ def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], count: str, shar
     hot = groups.where(F.col(count) > most)
     names = [*on, *(c for c in rows.columns if c not in on), *(c for c in groups.columns if c not in on)]
     few = rows.join(F.broadcast(hot), on).select(*names)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col(count) <= most), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col(count) <= most).hint("merge"), on)
     return few.unionByName(rest.select(*names))
 
 

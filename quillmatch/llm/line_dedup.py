@@ -137,7 +137,7 @@ def keep_lines(docs: DataFrame, scratch: Scratch, p: Params = Params()) -> DataF
     runs = scratch.keep(repeated_runs(scratch, docs, p))
     scratch.drop_all_but(runs)
     rows = docs.select(F.struct("*").alias("row"), *_keys())
-    joined = rows.join(runs, KEY, "left").select("row", "runs")
+    joined = rows.join(runs.hint("merge"), KEY, "left").select("row", "runs")
     names, kinds = docs.columns, docs.schema
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     schema = T.StructType([T.StructField("row", kinds), T.StructField("n_removed", T.IntegerType()), T.StructField("n_left", T.IntegerType())])
