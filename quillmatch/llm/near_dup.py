@@ -308,7 +308,7 @@ def duplicates(docs: DataFrame, scratch: Scratch, p: Params = Params(), whole: D
 def keep_documents(docs: DataFrame, scratch: Scratch, p: Params = Params(), whole: DataFrame | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns. `whole` (doc_id, text) has the texts to compare, for documents of which parts were cut out."""
     gone = grouped(docs, scratch, p, whole).select("d", "th")
-    return docs.select(F.struct("*").alias("row"), *_keys()).join(gone, ["d", "th"], "left_anti").select("row.*")
+    return docs.select(F.struct("*").alias("row"), *_keys()).join(gone.hint("merge"), ["d", "th"], "left_anti").select("row.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
