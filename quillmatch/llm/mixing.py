@@ -40,7 +40,7 @@ ADDED = ("epoch", "slot", "block", "block_offset")
 class Params:
     block_chars: int = 65536
     temperature: float = 0.7
-    max_slots: int = 1 << 22
+    max_slots: int = 1 << 20
     weights: dict[str, float] | None = None
 
 
@@ -126,6 +126,7 @@ def _mixed(rows: DataFrame, p: Params) -> DataFrame:
         .select("row", "p_id", "block", (F.col("start") - F.col("block") * block).alias("block_offset"), "blocks", F.explode(F.expr("sequence(0L, (times - 1 - block) div blocks)")).alias("epoch"))
         .withColumn("turn", F.col("epoch") * F.col("blocks") + F.col("block"))
     )
+    plan = F.broadcast(plan) if len(turns) <= p.max_slots else plan
     out = placed.join(plan, (F.col("p_id") == F.col("s_id")) & (F.col("turn") == F.col("k")))
     return out.select("row.*", "epoch", "slot", "block", "block_offset")
 
