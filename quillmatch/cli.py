@@ -17,6 +17,7 @@ from quillmatch.sources.text import read_lines, read_pairs, segment_id
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("quillmatch", fromfile_prefix_chars="@")
+    p.add_argument("--config", default="", help="file of lines key=value, the long names of options; what the command line gives wins")
     p.add_argument("-a", "--action", choices=("index", "match", "subseq", "dump"), required=True)
     p.add_argument("-c", "--corpus", default="", help="file, or SOURCE,TARGET, to be indexed")
     p.add_argument("-i", "--index", default="", help="folder of an index; for `index` the default is CORPUS.index")
@@ -42,6 +43,30 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def configured(argv: list[str]) -> list[str]:
+    """The arguments, after those of the file that --config names; ValueError if that has a line that isn't key=value."""
+    first = argparse.ArgumentParser(add_help=False, allow_abbrev=False)
+    first.add_argument("--config", default="")
+    path, out = first.parse_known_args(argv)[0].config, []
+    if not path:
+        return argv
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            key, sign, value = (x.strip() for x in line.partition("#")[0].partition("="))
+            if not key:
+                continue
+            if not sign:
+                raise ValueError(f"not key=value: {line.strip()}")
+            if value.lower() in ("1", "true", "yes", "on") and key in FLAGS:
+                out.append(f"--{key}")
+            elif key not in FLAGS:
+                out.append(f"--{key}={value}")
+    return out + argv
+
+
+FLAGS = ("add-target", "add-target-no-index", "no-perfect", "idf")
+
+
 def corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """ord, id, text of the lines of the corpus."""
     source, _, target = a.corpus.partition(",")
@@ -50,8 +75,8 @@ def corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def run(spark: SparkSession, argv: list[str]) -> int:
-    a = parser().parse_args(argv)
     try:
+        a = parser().parse_args(configured(argv))
         how = Analysis(parse_penalties(a.penalty_tokens), a.max_tokens)
         options = MatchOptions(a.fuzzy, a.nmatch, a.ml, a.mr, a.no_perfect, a.idf_penalty, EditCosts(a.insert_cost, a.delete_cost, a.replace_cost), a.contrast, a.contrast_reduce, a.contrast_buffer)
     except ValueError as e:
@@ -69,6 +94,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     index = build(corpus(spark, a), how) if a.corpus else load(spark, a.index)
     if a.action == "dump":
         out, lines = sinks.vocabulary_dump(index).orderBy("wid"), None
+        order = sinks.suffix_order(index)
     else:
         if not a.queries:
             print("queries are needed", file=sys.stderr)
@@ -82,10 +108,17 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             out = sinks.subsequence_lines(q, found)
         out, lines = out.orderBy("q_id"), "line"
     if a.output:
-        (out.select(lines).write.text(a.output) if lines else out.write.parquet(a.output))
+        if lines:
+            out.select(lines).write.text(a.output)
+        else:
+            out.write.parquet(f"{a.output}/vocabulary")
+            order.write.parquet(f"{a.output}/suffixes")
     else:
         for r in out.toLocalIterator():
             print(r[lines] if lines else "\t".join(str(x) for x in r))
+        if not lines:  # each suffix by its first word, segment and place
+            for r in order.orderBy("word", "place").toLocalIterator():
+                print("\t".join(str(x) for x in (r["word"], r["place"], r["s_id"], r["pos"])))
     if a.action != "dump":
         s = sinks.statistics(q, found).first()
         print(f"{s['n_matched']} of {s['n_queries']} queries matched", file=sys.stderr)

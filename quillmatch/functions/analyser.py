@@ -1,7 +1,7 @@
 """The exact tokenizer, in Arrow batches: normal form C, penalty tokens, case, joiners and scripts.
 
 A word is a run of letters of one script, a number a run of digits, any other character a token; marks stay with what they follow.
-Letters of scripts without spaces between words stand alone. Text between ｟ and ｠ is one token.
+Letters of scripts without spaces between words, and Kanbun marks, stand alone. Text between ｟ and ｠ is one token.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from quillmatch.functions.tokens import CLOSE, NUMBER, OPEN, tokens
 
 JOINER = "￭"
 ALONE = ("Han", "Katakana", "Hiragana", "Thai", "Myanmar")
+KANBUN = r"\u3190-\u319f"
 SCRIPTS = (*ALONE, "Latin", "Greek", "Cyrillic", "Arabic", "Hebrew", "Hangul", "Devanagari", "Bengali", "Tamil", "Telugu", "Kannada", "Malayalam", "Gujarati", "Gurmukhi", "Armenian", "Georgian", "Ethiopic", "Khmer", "Lao", "Tibetan", "Sinhala", "Mongolian")
 _WORD = "|".join(rf"(?:(?=\p{{L}})\p{{{s}}}\p{{M}}*){'' if s in ALONE else '+'}" for s in SCRIPTS)
-_TOKEN = regex.compile(rf"{OPEN}[^{CLOSE}]*(?:{CLOSE}|$)|{_WORD}|(?:\p{{L}}\p{{M}}*)+|(?:\p{{N}}\p{{M}}*)+|\s+|{JOINER}|.\p{{M}}*", regex.DOTALL)
+_TOKEN = regex.compile(rf"{OPEN}[^{CLOSE}]*(?:{CLOSE}|$)|[{KANBUN}]\p{{M}}*|{_WORD}|(?:\p{{L}}\p{{M}}*)+|(?:\p{{N}}\p{{M}}*)+|\s+|{JOINER}|.\p{{M}}*", regex.DOTALL)
 _NUMBER, _LETTER = regex.compile(r"\p{N}"), regex.compile(r"\p{L}")
 
 COLUMNS = "norm array<string>, real array<string>, itoks array<string>, froms array<int>, tos array<int>, surface string"

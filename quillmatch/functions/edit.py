@@ -7,6 +7,7 @@ threshold don't depend on the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,24 @@ from quillmatch.config import EditCosts
 f32 = np.float32
 
 
+@lru_cache(1 << 18)
 def char_distance(a: bytes, b: bytes) -> int:
+    """Unit-cost distance; columns of the recurrence are bits of whole numbers."""
     if not a or not b:
         return len(a) + len(b)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    places: dict[int, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    all_, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, out = all_, 0, len(a)
+    for c in b:
+        same = places.get(c, 0)
+        zero = ((((same & up) + up) ^ up) | same | down) & all_
+        more, less = down | all_ & ~(zero | up), up & zero
+        out += (more & last > 0) - (less & last > 0)
+        more, less = (more << 1 | 1) & all_, less << 1 & all_
+        up, down = less | all_ & ~((same | down) | more), more & (same | down)
+    return out
 
 
 def normalizer(p: np.ndarray, s: np.ndarray, c: EditCosts) -> np.ndarray:
@@ -62,7 +72,7 @@ def _codes(*values: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
 
 
 def _gaps(q: pa.Array, s: pa.Array, ql: np.ndarray, sl: np.ndarray):
-    """Costs between dropped tokens: a table by numbers of strings, the numbers (one more than tokens), and lengths in bytes."""
+    """Costs between dropped tokens: a function of numbers of strings, the numbers (one more than tokens), and lengths in bytes."""
     if q.null_count == len(q) and s.null_count == len(s):
         return None
     (qc, sc), words = _codes(pc.list_flatten(q), pc.list_flatten(s))
@@ -70,7 +80,6 @@ def _gaps(q: pa.Array, s: pa.Array, ql: np.ndarray, sl: np.ndarray):
     rank = {w: k for k, w in reversed(list(enumerate(names)))}
     again = np.array([rank[w] for w in names])
     raw = [w.encode() for w in names]
-    table = np.array([[char_distance(a, b) for b in raw] for a in raw], f32)
 
     def place(column: pa.Array, code: np.ndarray, n: np.ndarray) -> np.ndarray:
         out = np.zeros((len(n), int(n.max(initial=0)) + 1), np.int64)
@@ -78,11 +87,15 @@ def _gaps(q: pa.Array, s: pa.Array, ql: np.ndarray, sl: np.ndarray):
         out[np.arange(out.shape[1]) < have[:, None]] = again[code + 1]
         return out
 
-    return table, place(q, qc, ql), place(s, sc, sl), np.array([len(w) for w in raw], f32)
+    qg, sg = place(q, qc, ql), place(s, sc, sl)
+    # strings that meet in some pair, and no others
+    met = np.unique(np.concatenate([np.unique(sg[:, i][:, None] * len(raw) + qg) for i in range(sg.shape[1])] or [np.zeros(0, np.int64)]))
+    far = np.array([char_distance(raw[k // len(raw)], raw[k % len(raw)]) for k in met.tolist()], f32)
+    return lambda a, b: far[np.searchsorted(met, a * len(raw) + b)], qg, sg, np.array([len(w) for w in raw], f32)
 
 
-def costs(q_norm, q_real, q_itoks, s_norm, s_real, s_itoks, costs: EditCosts, idf=None, idf_weight: float = 0.0, idf_max: float = 1.0) -> np.ndarray:
-    """Cost in percent points of every pair. idf: list column, one number for each query token, of at most idf_max, at which a missing token costs idf_weight more words."""
+def costs(q_norm, q_real, q_itoks, s_norm, s_real, s_itoks, costs: EditCosts, idf=None, idf_weight: float = 0.0, idf_max: float = 1.0, most: float = np.inf) -> np.ndarray:
+    """Cost in percent points of every pair; of those that cost more than `most`, infinity where that shows early. idf: list column, one number for each query token, of at most idf_max, at which a missing token costs idf_weight more words."""
     n = len(q_norm)
     if not n:
         return np.zeros(0, f32)
@@ -104,13 +117,14 @@ def costs(q_norm, q_real, q_itoks, s_norm, s_real, s_itoks, costs: EditCosts, id
         values = _flat(idf)[1].cast(pa.float32()).to_numpy(zero_copy_only=False)
         extra = _padded(ql, values, 0) * (dw * f32(idf_weight) / f32(idf_max))[:, None]
     p, m, all_ = q.shape[1], s.shape[1], np.arange(n)
+    who = all_
     down, right, swap = dele * dw, ins * dw, rep * dw
     row = np.zeros((p + 1, n), f32)
     out = np.zeros(n, f32)
     if gaps:
         table, qg, sg, size = gaps
-        row[0] = table[sg[all_, sl], qg[all_, ql]]
-        gap = table[sg[:, 0][:, None], qg].T
+        row[0] = table(sg[all_, sl], qg[all_, ql])
+        gap = table(sg[:, 0][:, None], qg).T
     for j in range(1, p + 1):
         row[j] = row[j - 1] + right
         if gaps:
@@ -124,7 +138,7 @@ def costs(q_norm, q_real, q_itoks, s_norm, s_real, s_itoks, costs: EditCosts, id
         new[0] = row[0] + down
         if gaps:
             new[0] += size[sg[:, i]]
-            here = table[sg[:, i][:, None], qg].T
+            here = table(sg[:, i][:, None], qg).T
         for j in range(1, p + 1):
             differ = s[:, i - 1] != q[:, j - 1]
             step = np.where(differ, swap if extra is None else swap + extra[:, j - 1], f32(0))
@@ -144,7 +158,22 @@ def costs(q_norm, q_real, q_itoks, s_norm, s_real, s_itoks, costs: EditCosts, id
         done = sl == i
         if done.any():
             at = np.flatnonzero(done)
-            out[at] = row[ql[at], at]
+            out[who[at]] = row[ql[at], at]
+        if most < np.inf and i % 4 == 0:  # costs never fall from row to row, so pairs whose row is all above are through
+            over = row.min(axis=0) > most
+            over &= sl > i
+            if over.sum() > 0.25 * len(over):
+                out[who[over]] = np.inf
+                keep = ~(over | (sl <= i))
+                if not keep.any():
+                    break
+                who, row, ql, sl, q, s, down, right, swap = who[keep], row[:, keep], ql[keep], sl[keep], q[keep], s[keep], down[keep], right[keep], swap[keep]
+                if not plain:
+                    qr, sr = qr[keep], sr[keep]
+                if gaps:
+                    qg, sg, gap = qg[keep], sg[keep], gap[:, keep]
+                if extra is not None:
+                    extra = extra[keep]
     return out
 
 

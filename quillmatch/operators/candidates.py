@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.config import EditCosts
 from quillmatch.functions.scores import cover_bound, length_bound, reaches
+from quillmatch.operators.index import Index, grams
 from quillmatch.operators.numbering import tasks
 
 #: A query is looked up by n-grams of the longest of these that its shortest counting run allows: longer n-grams have fewer hits.
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
-_SHIFT = 1 << 21
+#: Bits of a position in a query, below the diagonal.
+BITS = 32
 
 
 def level(run: Column) -> Column:
@@ -21,12 +25,7 @@ def level(run: Column) -> Column:
     return out
 
 
-def grams(norm: Column, k: Column) -> Column:
-    """Hashes of all runs of k tokens, in order."""
-    return F.when(F.size(norm) >= k, F.transform(F.sequence(F.lit(1), F.size(norm) - k + 1), lambda i: F.xxhash64(F.slice(norm, i, k))))
-
-
-def hits(queries: DataFrame, forms: DataFrame, broadcast_grams: int, near: Column | None = None) -> DataFrame:
+def hits(queries: DataFrame, index: Index, broadcast_grams: int, near: Column | None = None) -> DataFrame:
     """q_id, form, k and codes: the sorted places (diagonal, query position) of the n-grams that a query and a form share.
 
     queries: q_id, norm, p, run (the shortest run that counts). near: a condition on p and len that pairs must meet.
@@ -35,12 +34,12 @@ def hits(queries: DataFrame, forms: DataFrame, broadcast_grams: int, near: Colum
     sizes = q.groupBy("k").agg(F.sum(F.greatest(F.col("p") - F.col("k") + 1, F.lit(0))).alias("n")).collect()  # a row for each level
     levels, total = [r["k"] for r in sizes] or [LEVELS[0]], sum(r["n"] for r in sizes)
     one = q.select("q_id", "p", "k", F.posexplode(grams(F.col("norm"), F.col("k"))).alias("q_pos", "gram"))
-    two = forms.select("form", "len", "norm", F.explode(F.array(*map(F.lit, levels))).alias("k")).where("k <= len")
-    two = two.select("form", "len", "k", F.posexplode(grams(F.col("norm"), F.col("k"))).alias("s_pos", "gram"))
-    both = two.join(F.broadcast(one) if total <= broadcast_grams else one, ["k", "gram"])
+    # the runs of a length are in a table of their own, so that only lengths that are looked up are read
+    each = [index.grams(k).join(F.broadcast(own) if total <= broadcast_grams else own, "gram") for k in sorted(levels) for own in (one.where(F.col("k") == k),)]
+    both = reduce(DataFrame.unionByName, each)
     if near is not None:
         both = both.where(near)
-    code = (F.col("s_pos") - F.col("q_pos")).cast("long") * _SHIFT + F.col("q_pos")
+    code = F.shiftleft((F.col("s_pos") - F.col("q_pos")).cast("long"), BITS) + F.col("q_pos")
     spread = both.select("q_id", "form", "k", code.alias("code")).repartition(tasks(both), "q_id", "form")
     return spread.groupBy("q_id", "form", "k").agg(F.array_sort(F.collect_list("code")).alias("codes"))
 
@@ -49,14 +48,16 @@ def islands(codes: Column, k: Column) -> Column:
     """Maximal common runs (start in the query, start in the form, length) of sorted codes."""
     starts = F.array_except(codes, F.transform(codes, lambda x: x + 1))
     ends = F.array_except(codes, F.transform(codes, lambda x: x - 1))
-    half = _SHIFT // 2
-    diagonal = lambda x: F.floor((x + half) / F.lit(_SHIFT)).cast("int")
-    return F.zip_with(starts, ends, lambda a, b: F.struct((a - diagonal(a) * _SHIFT).cast("int").alias("q_at"), (a - diagonal(a) * _SHIFT + diagonal(a)).cast("int").alias("s_at"), (b - a + k).cast("int").alias("length")))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(q_place(a).cast("int").alias("q_at"), (q_place(a) + F.shiftright(a, BITS)).cast("int").alias("s_at"), (b - a + k).cast("int").alias("length")))
+
+
+def q_place(code: Column) -> Column:
+    return code.bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def longest_runs(queries: DataFrame, forms: DataFrame, broadcast_grams: int = 1_000_000, near: Column | None = None) -> DataFrame:
+def longest_runs(queries: DataFrame, index: Index, broadcast_grams: int = 1_000_000, near: Column | None = None) -> DataFrame:
     """q_id, form, run: the longest common run of each pair, where it counts."""
-    found = hits(queries, forms, broadcast_grams, near)
+    found = hits(queries, index, broadcast_grams, near)
     runs = found.select("q_id", "form", F.coalesce(F.array_max(F.transform(islands(F.col("codes"), F.col("k")), lambda x: x["length"])), F.lit(0)).alias("longest"))
     return runs.join(queries.select("q_id", "run"), "q_id").where("longest >= run").select("q_id", "form", F.col("longest").alias("run"))
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, replace
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmatch.config import Analysis, parse_penalties
 from quillmatch.functions.analyser import analyse
 from quillmatch.operators import vocab
-from quillmatch.operators.numbering import numbered
+from quillmatch.operators.numbering import numbered, tasks
 from quillmatch.sources.store import kept, new_folder
 
 VERSION = 1
@@ -29,6 +31,15 @@ class Index:
     how: Analysis
     segments: DataFrame
     forms: DataFrame
+    loaded: bool = False
+    found: dict = field(default_factory=dict, compare=False)
+
+    def grams(self, k: int) -> DataFrame:
+        """gram, form, len, s_pos: every run of k tokens of every form, in buckets by the hash of the run. Written once, when that length is first looked up, or with the index."""
+        if k not in self.found:
+            at = f"{self.path}/grams-{k}"
+            self.found[k] = bucketed(self.spark, at) if written(self.spark, at) else write_grams(self.forms, k, at if not self.loaded else f"{new_folder(self.spark, 'grams')}-{k}")
+        return self.found[k]
 
     @cached_property
     def n_segments(self) -> int:
@@ -40,28 +51,64 @@ class Index:
         return vocab.stored(self.forms, f"{self.path}/vocabulary")
 
 
+GRAM = "gram long, form long, len int, s_pos int"
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def grams(norm: Column, k: Column) -> Column:
+    """Hashes of all runs of k tokens, in order."""
+    return F.when(F.size(norm) >= k, F.transform(F.sequence(F.lit(1), F.size(norm) - k + 1), lambda i: F.xxhash64(F.slice(norm, i, k))))
+
+
+def write_grams(forms: DataFrame, k: int, path: str) -> DataFrame:
+    """Sorted buckets: a search by many runs joins them without moving them, one by few reads three numbers a token."""
+    each = forms.where(F.col("len") >= k).select("form", "len", F.posexplode(grams(F.col("norm"), F.lit(k))).alias("s_pos", "gram")).select("gram", "form", "len", "s_pos")
+    n, name = tasks(forms), f"grams_{uuid.uuid4().hex}"
+    each.repartition(n, "gram").write.bucketBy(n, "gram").sortBy("gram").option("path", path).saveAsTable(name)
+    forms.sparkSession.createDataFrame([(n,)], "n int").coalesce(1).write.json(f"{path}-buckets")
+    return forms.sparkSession.table(name)
+
+
+def bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """The table of such a folder, known to this session under a name of its own."""
+    n, name = spark.read.schema("n int").json(f"{path}-buckets").first()["n"], f"grams_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({GRAM}) USING parquet CLUSTERED BY (gram) SORTED BY (gram) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def admitted(df: DataFrame, how: Analysis) -> DataFrame:
     """Analysed segments with 1 to max_tokens tokens."""
     return df.where(F.size("norm").between(1, how.max_tokens))
 
 
-def build(df: DataFrame, how: Analysis = Analysis(), order: tuple[str, ...] = ("ord",), text: str = "text", path: str | None = None) -> Index:
-    """An index of df (the order columns, id, text), or of tokens if df has an array `norm` (and maybe `real`, `itoks`)."""
+def build(df: DataFrame, how: Analysis = Analysis(), order: tuple[str, ...] = ("ord",), text: str = "text", path: str | None = None, expand: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+    """An index of df (the order columns, id, text), or of tokens if df has an array `norm` (and maybe `real`, `itoks`).
+
+    With expand, df has only the first order column for sure, and expand(part of df) makes all of these from it (lines from documents, say): rows are then spread first and made where they stay.
+    """
     spark, path = df.sparkSession, path or new_folder(df.sparkSession, "index")
     if "id" in order:
         raise ValueError("id can't be an order column; give a copy of it")
-    columns = [*order, F.col("id").cast("string").alias("id")]
-    if "norm" in df.columns:
-        rows = df.select(*columns, "norm", *(c if c in df.columns else F.lit(None).cast("array<string>").alias(c) for c in ("real", "itoks")))
-    else:
-        rows = df.select(*columns, F.col(text).alias("text"))
+
+    def needed(df: DataFrame) -> DataFrame:
+        columns = [*order, F.col("id").cast("string").alias("id")]
+        if "norm" in df.columns:
+            return df.select(*columns, "norm", *(c if c in df.columns else F.lit(None).cast("array<string>").alias(c) for c in ("real", "itoks")))
+        return df.select(*columns, F.col(text).alias("text"))
+
+    rows = df if expand else needed(df)
 
     def each(part: DataFrame) -> DataFrame:
+        part = needed(expand(part)) if expand else part
         found = part if "norm" in part.columns else analyse(part, how)
         return admitted(found.select(*order, "id", "norm", "real", "itoks"), how)
 
     form = F.struct("norm", "real", "itoks")
-    all_ = numbered(rows, list(order), "s_id", f"{path}/admitted", each=each).withColumns({"h1": F.xxhash64(form), "h2": F.xxhash64(F.lit(1), form)})
+    all_ = numbered(rows, list(order), "s_id", f"{path}/admitted", each=each, spread=list(order[:1]) if expand else None).withColumns({"h1": F.xxhash64(form), "h2": F.xxhash64(F.lit(1), form)})
     groups = all_.groupBy("norm", "real", "itoks", "h1", "h2").agg(F.min("s_id").alias("form"), F.count(F.lit(1)).alias("n"))
     forms = kept(groups.select("form", "n", F.size("norm").alias("len"), "norm", "real", "itoks", "h1", "h2"), f"{path}/forms")
     segments = kept(all_.select("s_id", "id", "h1", "h2").join(forms.select("form", "h1", "h2"), ["h1", "h2"]).select("s_id", "id", "form"), f"{path}/segments")
@@ -69,10 +116,12 @@ def build(df: DataFrame, how: Analysis = Analysis(), order: tuple[str, ...] = ("
 
 
 def save(index: Index, path: str) -> None:
-    """Write the index as a folder of Parquet tables; the path must not exist."""
+    """Write the index as a folder of Parquet tables, with the runs of tokens that default options look up most; the path must not exist."""
     index.segments.write.parquet(f"{path}/segments")
     index.forms.write.parquet(f"{path}/forms")
     index.vocabulary.write.parquet(f"{path}/vocabulary")
+    for k in {3, *index.found}:
+        write_grams(index.forms, k, f"{path}/grams-{k}")
     meta = json.dumps({"version": VERSION, "penalties": ",".join(sorted(index.how.penalties)) or "none", "max_tokens": index.how.max_tokens, "tokenizer": index.how.tokenizer})
     index.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/meta")
 
@@ -87,7 +136,7 @@ def load(spark: SparkSession, path: str) -> Index:
     if found["version"] != VERSION:
         raise ValueError(f"index version {found['version']} isn't known")
     how = Analysis(parse_penalties(found["penalties"]), found["max_tokens"], found["tokenizer"])
-    return Index(spark, path, how, spark.read.parquet(f"{path}/segments"), spark.read.parquet(f"{path}/forms"))
+    return Index(spark, path, how, spark.read.parquet(f"{path}/segments"), spark.read.parquet(f"{path}/forms"), loaded=True)
 
 
 def extended(index: Index, df: DataFrame, order: tuple[str, ...] = ("ord",), text: str = "text") -> Index:

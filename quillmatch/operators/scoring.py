@@ -51,8 +51,9 @@ def unit_cost(pairs: DataFrame, max_tokens: int, fuzzy: float | None = None) ->
     return pairs.withColumn("_steps", stopped).withColumn("cost", total).drop("_steps")
 
 
-def weighted_cost(pairs: DataFrame, c: EditCosts, idf_weight: float = 0.0, idf_max: float = 1.0) -> DataFrame:
-    """pairs with cost, in Arrow batches. With idf_weight, pairs have `idf`, numbers for the query's tokens."""
+def weighted_cost(pairs: DataFrame, c: EditCosts, idf_weight: float = 0.0, idf_max: float = 1.0, fuzzy: float | None = None) -> DataFrame:
+    """pairs with cost, in Arrow batches. With idf_weight, pairs have `idf`, numbers for the query's tokens. With fuzzy, the cost is null where it shows early that this score isn't reached."""
+    most = np.inf if fuzzy is None else (1 - fuzzy) * 100 + 0.1  # far beyond rounding
     names = pairs.columns
     schema = T.StructType([*pairs.schema.fields, T.StructField("cost", T.FloatType())])
 
@@ -66,7 +67,7 @@ def weighted_cost(pairs: DataFrame, c: EditCosts, idf_weight: float = 0.0, idf_m
                 take = pa.array(at)
                 six = [col(n).take(take) for n in ("q_norm", "q_real", "q_itoks", "s_norm", "s_real", "s_itoks")]
                 more = (col("idf").take(take), idf_weight, idf_max) if idf_weight else ()
-                out[at] = edit_costs(*six, c, *more)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=schema.names)
+                out[at] = edit_costs(*six, c, *more, most=most)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, mask=np.isinf(out))], names=schema.names)
 
     return pairs.mapInArrow(run, schema)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.functions.scores import score_text
 from quillmatch.operators.index import Index
+from quillmatch.operators.numbering import numbered
 from quillmatch.operators.vocab import idf
+from quillmatch.sources.store import new_folder
 
 
 def match_lines(queries: DataFrame, found: DataFrame) -> DataFrame:
@@ -41,6 +43,11 @@ def suffixes(index: Index) -> DataFrame:
 
 
 def suffix_order(index: Index) -> DataFrame:
-    """s_id, pos, word (the first) and place: the order of suffixes among those that begin with the same word, by words, shorter first, then s_id."""
-    rows = suffixes(index).withColumn("word", F.element_at("suffix", 1))
-    return rows.select("s_id", "pos", "word", F.row_number().over(Window.partitionBy("word").orderBy("suffix", "s_id", "pos")).alias("place"))
+    """s_id, pos, word (the first) and place: the order of suffixes among those that begin with the same word, by words, shorter first, then s_id.
+
+    All suffixes are numbered by one sort over ranges, so that those of a common word are in many tasks; a word's first number is then taken off.
+    """
+    every = numbered(suffixes(index), ["suffix", "s_id", "pos"], "at", new_folder(index.spark, "suffixes"))
+    every = every.select("s_id", "pos", F.element_at("suffix", 1).alias("word"), "at")
+    first = every.groupBy("word").agg(F.min("at").alias("first"))
+    return every.join(first, "word").select("s_id", "pos", "word", (F.col("at") - F.col("first") + 1).cast("int").alias("place"))

@@ -14,9 +14,9 @@ UNKNOWN_ID = 1
 
 def words(forms: DataFrame) -> DataFrame:
     """word, first (form, pos) and sfreq, the number of segments that have it."""
-    each = forms.select("form", "n", "norm", F.explode(F.array_distinct("norm")).alias("word"))
-    place = F.struct("form", F.array_position("norm", F.col("word")).alias("pos"))
-    return each.groupBy("word").agg(F.min(place).alias("first"), F.sum("n").alias("sfreq"))
+    own = F.transform(F.array_distinct("norm"), lambda w: F.struct(w.alias("word"), F.array_position("norm", w).alias("pos")))
+    each = forms.select("form", "n", F.explode(own).alias("w")).select("form", "n", "w.word", "w.pos")
+    return each.groupBy("word").agg(F.min(F.struct("form", "pos")).alias("first"), F.sum("n").alias("sfreq"))
 
 
 def stored(forms: DataFrame, path: str) -> DataFrame:

@@ -13,11 +13,33 @@ tok AS (SELECT doc_id, line_no, line, {_TOK % 'line'} AS norm FROM ln)"""
 SEGMENTS = TOKENS + """,
 seg AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS s_id, doc_id || ':' || line_no AS id, norm, len(norm) AS len FROM tok WHERE len(norm) BETWEEN 1 AND 300),
 form AS (SELECT min(s_id) AS form, count(*) AS n, norm, len(norm) AS len FROM seg GROUP BY norm)"""
-VOCAB = SEGMENTS + """,
+_VOCAB = """,
 occ AS (SELECT form, n, unnest(norm) AS word, unnest(range(1, len + 1)) AS pos FROM form),
 word1 AS (SELECT word, form, min(n) AS n, min(pos) AS pos FROM occ GROUP BY word, form),
 word AS (SELECT word, sum(n)::BIGINT AS sfreq, min({'form': form, 'pos': pos}) AS first FROM word1 GROUP BY word),
 vocab AS (SELECT word, row_number() OVER (ORDER BY first) + 1 AS wid, sfreq FROM word UNION ALL SELECT '', 0, 0 UNION ALL SELECT '｟unk｠', 1, 0)"""
+VOCAB = SEGMENTS + _VOCAB
+#: The exact tokenizer with case, number and tag penalties, on text of one script in a word and without joiners or marks apart.
+_CASE = """CASE WHEN starts_with(t, '｟') OR lower(t) = upper(t) THEN 'N' WHEN t = lower(t) THEN 'L' WHEN t[1] <> lower(t[1]) AND substring(t, 2) = lower(substring(t, 2)) THEN 'C' WHEN t = upper(t) THEN 'U' ELSE 'M' END"""
+_NORM = r"lambda t: CASE WHEN starts_with(t, '｟') THEN t WHEN regexp_matches(t, '^\p{N}') THEN '｟num｠' ELSE lower(t) END"
+_REAL = f"lambda t: CASE WHEN {_CASE} = 'N' THEN t ELSE {_CASE} END"
+EXACT = LINES + f""",
+tok AS (SELECT doc_id, line_no, {_TOK % 'nfc_normalize(line)'} AS raw FROM ln),
+seg AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS s_id, doc_id || ':' || line_no AS id, list_transform(raw, {_NORM}) AS norm, list_transform(raw, {_REAL}) AS real, len(raw) AS len FROM tok WHERE len(raw) BETWEEN 1 AND 300),
+form AS (SELECT min(s_id) AS form, count(*) AS n, norm, real, len(norm) AS len FROM seg GROUP BY norm, real)"""
+#: Benchmark items with their tokens, and the text in pieces, spaces too.
+_PIECES = PATTERN.replace(r"|[^\s", r"|\s+|[^\s")
+EXACT_QUERIES = f""",
+q0 AS (SELECT item_id AS q_id, nfc_normalize(coalesce(text, '')) AS t, {_TOK % "nfc_normalize(coalesce(text, ''))"} AS raw FROM benchmark),
+q AS (SELECT q_id, t, list_transform(raw, {_NORM}) AS qn, list_transform(raw, {_REAL}) AS qr, len(raw) AS p, greatest(CASE WHEN len(raw) = 1 THEN 1 ELSE 2 END, least(3, len(raw))) AS k FROM q0 WHERE len(raw) BETWEEN 1 AND 300),
+piece0 AS (SELECT q_id, unnest(regexp_extract_all(t, '{_PIECES}')) AS piece, generate_subscripts(regexp_extract_all(t, '{_PIECES}'), 1) AS i FROM q),
+piece AS (SELECT *, sum(CASE WHEN trim(piece, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY q_id ORDER BY i) AS tok FROM piece0)"""
+#: Unit costs by the recurrence; equal tokens of other case or number cost by what differs. `pair` has qn, qr, norm, real, p and len.
+EXACT_COST = """,
+w AS (SELECT *, CAST(CAST(100 AS FLOAT) / CAST(greatest(p, len) AS FLOAT) AS FLOAT) AS dw FROM pair),
+first AS (SELECT *, list_reduce(range(1, p + 1), lambda a, j: list_append(a, CAST(a[-1] + dw AS FLOAT)), [CAST(0 AS FLOAT)]) AS row0 FROM w),
+cost AS (SELECT *, list_reduce(range(1, len + 1), lambda row, i: list_reduce(range(1, p + 1), lambda a, j: list_append(a, least(CAST(row[j + 1] + dw AS FLOAT), CAST(a[-1] + dw AS FLOAT), CAST(row[j] + (
+  CASE WHEN qn[j] <> norm[i] THEN dw WHEN qr[j] = real[i] THEN CAST(0 AS FLOAT) WHEN real[i] IN ('', 'L', 'U', 'M', 'C') THEN CAST(1 AS FLOAT) ELSE CAST(2 AS FLOAT) END) AS FLOAT))), [CAST(row[1] + dw AS FLOAT)]), row0)[-1] AS cost FROM first)"""
 
 
 def _queries(ratio: float = 0.0, run: int = 3, source: str = "SELECT item_id AS q_id, text FROM benchmark") -> str:
@@ -85,10 +107,10 @@ first AS (SELECT *, list_reduce(range(1, p + 1), lambda a, j: list_append(a, {mo
 cost AS (SELECT *, list_reduce(norm, lambda row, tok: list_reduce(range(1, p + 1), lambda a, j: list_append(a, least(CAST(row[j + 1] + wd AS FLOAT), {more("CAST(a[-1] + wi AS FLOAT)")}, CAST(row[j] + (CASE WHEN qn[j] = tok THEN CAST(0 AS FLOAT) ELSE {more("wr")} END) AS FLOAT))), [CAST(row[1] + wd AS FLOAT)]), row0)[-1] AS cost FROM first)"""
 
 
-def _ranked(fuzzy: float, more: str = "true") -> str:
+def _ranked(fuzzy: float, more: str = "true", same: str = "seg.norm = form.norm") -> str:
     return f""",
 hits AS (SELECT q_id, form, score, run, len FROM scored WHERE score >= CAST({fuzzy} AS FLOAT) AND {more}),
-each AS (SELECT q_id, score, run AS max_subseq, s_id, id, hits.len AS length FROM hits JOIN form USING (form) JOIN seg ON seg.norm = form.norm),
+each AS (SELECT q_id, score, run AS max_subseq, s_id, id, hits.len AS length FROM hits JOIN form USING (form) JOIN seg ON {same}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, s_id) AS rank FROM each)"""
 
 
@@ -159,8 +181,8 @@ SELECT item_id AS q_id, coalesce(line, '') AS line FROM benchmark LEFT JOIN l ON
 ORACLES["match_idf"] = "WITH " + VOCAB + _queries() + _pairs(0.1) + _dp(1, 1, 1, 0.5) + _SCORE + _top(0.1, 5)
 
 
-def _subsequence(weight: str = "size::DOUBLE", keep: str = "true") -> str:
-    return "WITH " + VOCAB + _queries() + _runs() + f""",
+def _subsequence(weight: str = "size::DOUBLE", keep: str = "true", start: str = "", cost: str = "", more: str = "", span: str = "array_to_string(qn[w.head : w.head + w.size - 1], ' ')") -> str:
+    return "WITH " + (start or VOCAB + _queries()) + _runs() + f""",
 big AS (SELECT count(*)::DOUBLE AS n_seg FROM seg),
 qw AS (SELECT q_id, i, coalesce(CAST(CAST(ln(n_seg / nullif(sfreq, 0)) AS FLOAT) AS DOUBLE), 0) AS idf FROM (SELECT q_id, unnest(qn) AS word, unnest(range(1, p + 1)) AS i FROM q) LEFT JOIN vocab USING (word), big),
 cum AS (SELECT q_id, i, sum(idf) OVER (PARTITION BY q_id ORDER BY i) AS upto FROM qw UNION ALL SELECT q_id, 0, 0 FROM q),
@@ -171,9 +193,9 @@ inside AS (SELECT s.q_id, s.form, -b.back AS head, b.size AS size, -b.back + s.d
 words AS (SELECT q_id, form, head, size, f, unnest(norm[f:]) AS word, unnest(range(f, len + 1)) AS pos FROM inside JOIN form USING (form)),
 tails AS (SELECT q_id, form, head, size, min(tail) AS tail FROM (SELECT q_id, form, head, size, f, list(wid ORDER BY pos) AS tail FROM words JOIN vocab USING (word) GROUP BY ALL) GROUP BY ALL),
 tried AS (SELECT *, row_number() OVER z AS turn, coalesce(sum(n) OVER (PARTITION BY q_id ORDER BY tail, form ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM tails JOIN form USING (form) WINDOW z AS (PARTITION BY q_id ORDER BY tail, form)),
-pair AS (SELECT tried.*, qn, p FROM tried JOIN q USING (q_id) WHERE seen < 5)""" + _UNIT + _SCORE + """,
-won AS (SELECT q_id, min({'cost': cost, 'turn': turn, 'form': form, 'score': score, 'size': size, 'head': head}) AS w FROM scored GROUP BY q_id),
-sub AS (SELECT won.q_id, w.score AS score, w.size::INTEGER AS max_subseq, s_id, id, array_to_string(qn[w.head : w.head + w.size - 1], ' ') AS span FROM won JOIN seg ON s_id = w.form JOIN q ON q.q_id = won.q_id)"""
+pair AS (SELECT tried.*, qn, p{more} FROM tried JOIN q USING (q_id) WHERE seen < 5)""" + (cost or _UNIT) + _SCORE + f""",
+won AS (SELECT q_id, min({{'cost': cost, 'turn': turn, 'form': form, 'score': score, 'size': size, 'head': head}}) AS w FROM scored GROUP BY q_id),
+sub AS (SELECT won.q_id, w.score AS score, w.size::INTEGER AS max_subseq, s_id, id, {span} AS span FROM won JOIN seg ON s_id = w.form JOIN q ON q.q_id = won.q_id)"""
 
 
 _SHOWN = " SELECT q_id, round(CAST(score AS DOUBLE), 4) AS score, max_subseq, s_id, id, span FROM sub"
@@ -207,3 +229,7 @@ SELECT q_id, rank::INTEGER AS rank, round(CAST(score AS DOUBLE), 4) AS score, ro
 
 
 ORACLES["contrast_mean"], ORACLES["contrast_max"] = _contrast("mean"), _contrast("max")
+ORACLES["match_penalties"] = "WITH " + EXACT + EXACT_QUERIES + _pairs(0.2).replace("cover FROM run JOIN", "cover, qr, real FROM run JOIN") + EXACT_COST + _SCORE + _ranked(0.2, same="seg.norm = form.norm AND seg.real = form.real") + """
+SELECT q_id, rank::INTEGER AS rank, round(CAST(score AS DOUBLE), 4) AS score, max_subseq, s_id, id, length::INTEGER AS length FROM ranked WHERE rank <= 5"""
+_SPAN = "(SELECT trim(string_agg(piece, '' ORDER BY i)) FROM piece WHERE piece.q_id = won.q_id AND tok BETWEEN w.head AND w.head + w.size - 1 AND (tok < w.head + w.size - 1 OR trim(piece, ' ' || chr(9) || chr(10) || chr(13)) <> ''))"
+ORACLES["subseq_text"] = _subsequence(start=EXACT + _VOCAB + EXACT_QUERIES, cost=EXACT_COST, more=", qr", span=_SPAN) + _SHOWN

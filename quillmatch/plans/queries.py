@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from quillmatch.functions.analyser import nfc
 from quillmatch.functions.scores import normalizer
 from quillmatch.operators import candidates, sinks, vocab
 from quillmatch.operators.index import Index, build, decoded
+from quillmatch.operators.numbering import numbered
 from quillmatch.plans import search
 from quillmatch.sources.store import new_folder
 from quillmatch.sources.text import segment_id, split_lines, split_pair, zip_lines
@@ -38,8 +39,10 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(8)
 def _indexed(app: str, spark: SparkSession, sf_dir: str, how: Analysis) -> Index:
-    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.concat_ws(":", "doc_id", "line_no").alias("id"), F.col("line").alias("text"))
-    return build(rows, how, ("doc_id", "line_no"))
+    def expand(docs: DataFrame) -> DataFrame:
+        return split_lines(docs, "text", "doc_id").select("doc_id", "line_no", F.concat_ws(":", "doc_id", "line_no").alias("id"), F.col("line").alias("text"))
+
+    return build(table(spark, sf_dir, "documents").select("doc_id", "text"), how, ("doc_id", "line_no"), expand=expand)
 
 
 def index_of(spark: SparkSession, sf_dir: str, how: Analysis = PLAIN) -> Index:
@@ -60,8 +63,11 @@ def id_policy(spark, sf_dir):
 
 def bitext_zip(spark, sf_dir):
     """URLs by page as lines, benchmark items as their targets."""
-    place = lambda df, key, text: df.select(F.row_number().over(Window.orderBy(key)).alias("line_no"), F.col(text).alias("line"))
-    return zip_lines(place(table(spark, sf_dir, "pages"), "page_id", "url"), place(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    def place(name: str, key: str, text: str) -> DataFrame:
+        rows = numbered(table(spark, sf_dir, name).select(key, F.col(text).alias("line")), [key], "line_no", new_folder(spark, "lines"), 1)
+        return rows.select(F.col("line_no").cast("int").alias("line_no"), "line")
+
+    return zip_lines(place("pages", "page_id", "url"), place("benchmark", "item_id", "text"))
 
 
 def nfc_text(spark, sf_dir):
@@ -134,21 +140,21 @@ def ngram_lookup(spark, sf_dir):
     """How many suffixes of the index begin with each trigram of a query."""
     ix = index_of(spark, sf_dir)
     q = search.analysed(asked(spark, sf_dir), ix).withColumn("run", F.lit(3))
-    found = candidates.hits(q, ix.forms, LOOSE.broadcast_grams).join(ix.forms.select("form", "n"), "form")
-    at = found.select("q_id", "n", F.explode("codes").alias("code")).select("q_id", "n", F.expr(f"pmod(code, {1 << 21})").cast("int").alias("q_pos"))
+    found = candidates.hits(q, ix, LOOSE.broadcast_grams).join(ix.forms.select("form", "n"), "form")
+    at = found.select("q_id", "n", F.explode("codes").alias("code")).select("q_id", "n", candidates.q_place(F.col("code")).cast("int").alias("q_pos"))
     return at.groupBy("q_id", "q_pos").agg(F.sum("n").alias("n_suffixes"))
 
 
 def longest_run(spark, sf_dir):
     ix = index_of(spark, sf_dir)
     q = search.prepared(asked(spark, sf_dir), ix, LOOSE)
-    return candidates.longest_runs(q, ix.forms).select("q_id", "form", "run")
+    return candidates.longest_runs(q, ix).select("q_id", "form", "run")
 
 
 def length_band(spark, sf_dir):
     ix = index_of(spark, sf_dir)
     q = search.prepared(asked(spark, sf_dir), ix, LOOSE)
-    return candidates.longest_runs(q, ix.forms, near=candidates.near_in_length(LOOSE.costs, LOOSE.fuzzy)).select("q_id", "form", "run")
+    return candidates.longest_runs(q, ix, near=candidates.near_in_length(LOOSE.costs, LOOSE.fuzzy)).select("q_id", "form", "run")
 
 
 def cover_filter(spark, sf_dir):

@@ -49,14 +49,14 @@ def priced(pairs: DataFrame, index: Index, c: EditCosts, idf_weight: float = 0.0
     """pairs with cost; it may be null where it is too high for the score `fuzzy`."""
     if in_jvm(index, c, idf_weight):
         return scoring.unit_cost(pairs, index.how.max_tokens, fuzzy)
-    return scoring.weighted_cost(pairs, c, idf_weight, idf_max)
+    return scoring.weighted_cost(pairs, c, idf_weight, idf_max, fuzzy)
 
 
 def candidate_pairs(queries: DataFrame, index: Index, o: MatchOptions) -> tuple[DataFrame, DataFrame]:
     """Prepared queries, and pairs that share a run and pass both bounds, with tokens."""
     q = prepared(queries, index, o)
     near = candidates.near_in_length(o.costs, o.fuzzy)
-    found = candidates.longest_runs(q, index.forms, o.broadcast_grams, near)
+    found = candidates.longest_runs(q, index, o.broadcast_grams, near)
     cover = candidates.covered(F.col("q_norm"), F.col("s_norm"), F.col("p"), F.col("run"))
     pairs = paired(found, q, index.forms).withColumn("cover", cover)
     return q, pairs.where(candidates.cover_enough(F.col("cover"), o.costs, o.fuzzy, o.strict))
@@ -76,7 +76,7 @@ def _scored(queries: DataFrame, index: Index, o: MatchOptions) -> DataFrame:
     if in_jvm(index, o.costs, o.idf):  # equal tokens are what costs nothing: the distance isn't needed for that
         pairs = pairs.where("q_norm != s_norm") if o.no_perfect else pairs
         return priced(pairs, index, o.costs, fuzzy=o.fuzzy).withColumn("score", score(F.col("cost")))
-    out = priced(pairs, index, o.costs, o.idf, idf_max).withColumn("score", score(F.col("cost")))
+    out = priced(pairs, index, o.costs, o.idf, idf_max, o.fuzzy).withColumn("score", score(F.col("cost")))
     return out.where("not (cost = 0 and p = len)") if o.no_perfect else out
 
 
@@ -109,7 +109,7 @@ def has_match(queries: DataFrame, index: Index, o: MatchOptions = MatchOptions()
 
 def _runs(q: DataFrame, index: Index, o: SubsequenceOptions) -> DataFrame:
     """q_id, form and each maximal common run (q_at, s_at, length)."""
-    found = candidates.hits(q, index.forms, o.broadcast_grams)
+    found = candidates.hits(q, index, o.broadcast_grams)
     runs = found.select("q_id", "form", F.explode(candidates.islands(F.col("codes"), F.col("k"))).alias("r")).select("q_id", "form", "r.*")
     return runs.join(q.select("q_id", "run"), "q_id").where("length >= run").drop("run")
 

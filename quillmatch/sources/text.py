@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmatch.sources.store import kept, new_folder
+
 
 def split_lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """The keys, line_no from 1, and line: every line of the text, blank ones too. A null text has none."""
@@ -14,10 +16,14 @@ def split_lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1) and line of one file, .gz too; whatever follows the last newline is a line unless empty.
 
-    The file is one record, since a line's number depends on all before it; give a table with ids for what is larger than a task can hold.
+    Each task reads a block of the file (a .gz is one) and writes its lines with their place; a line's number is that and the number of lines in the blocks before, of which there is one row each.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\n$", "").alias("value"))
-    return split_lines(whole.where("value != ''"), "value")
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = kept(rows, new_folder(spark, "lines"))
+    blocks = rows.groupBy("block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("block", (before - F.col("first") + 1).alias("base"))
+    return rows.join(F.broadcast(blocks), "block").select((F.col("at") + F.col("base")).cast("int").alias("line_no"), "line")
 
 
 def read_pairs(spark: SparkSession, source: str, target: str | None = None) -> DataFrame:

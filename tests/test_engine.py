@@ -3,12 +3,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmatch.cli import run
 from quillmatch.config import Analysis, EditCosts, MatchOptions, SubsequenceOptions, parse_penalties
 from quillmatch.functions.analyser import analyse_text, case_of
+from quillmatch.functions.edit import char_distance
+from quillmatch.functions.edit import costs as edit_costs
 from quillmatch.functions.scores import score_text
 from quillmatch.functions.tokens import case_feature
 from quillmatch.operators import candidates
@@ -19,6 +22,7 @@ from quillmatch.operators.scoring import unit_cost, weighted_cost
 from quillmatch.operators.sinks import match_lines, subsequence_lines
 from quillmatch.plans.search import analysed, match, paired, subsequence
 from quillmatch.sources.store import new_folder
+from quillmatch.sources.text import read_lines
 from quillmatch.streaming.matching import match_stream
 
 f32 = np.float32
@@ -172,8 +176,8 @@ def test_numbers_are_dense(spark):
 def test_islands(spark):
     q, s = list("abcabx"), list("zabcabcab")
     frame = spark.createDataFrame([(0, q, len(q), 2)], "q_id long, norm array<string>, p int, run int")
-    forms = spark.createDataFrame([(9, s, len(s))], "form long, norm array<string>, len int")
-    found = candidates.hits(frame, forms, 100).select(F.explode(candidates.islands(F.col("codes"), F.col("k")))).collect()
+    index = build(spark.createDataFrame([(0, "x", s)], "ord int, id string, norm array<string>"))
+    found = candidates.hits(frame, index, 100).select(F.explode(candidates.islands(F.col("codes"), F.col("k")))).collect()
     want = set()
     for i in range(len(q)):
         for j in range(len(s)):
@@ -201,6 +205,100 @@ def test_save_load_extend(spark, tmp_path):
         load(spark, f"file://{tmp_path}/none")
 
 
+def test_other_versions_are_not_loaded(spark, tmp_path):
+    (tmp_path / "ix" / "meta").mkdir(parents=True)
+    (tmp_path / "ix" / "meta" / "part").write_text('{"version": 0}\n')
+    with pytest.raises(ValueError):
+        load(spark, f"file://{tmp_path}/ix")
+
+
+def test_runs_of_tokens_are_not_made_again(spark):
+    """A search reads the runs of the index; forms are joined for their tokens only."""
+    index = indexed(spark, corpus(2), tokenizer="sql")
+    q = spark.createDataFrame([(0, "a b c d")], "q_id long, text string")
+    o = MatchOptions(fuzzy=0.2, min_ratio=0)
+    found = match(q, index, o)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "grams_" in plan and plan.count("posexplode") == 1 and index.grams(3).columns == ["gram", "form", "len", "s_pos"]
+    large = match(q, index, MatchOptions(fuzzy=0.2, min_ratio=0, broadcast_grams=0))
+    assert sorted(large.collect()) == sorted(found.collect())
+
+
+@pytest.mark.parametrize("size", [5, 200])
+def test_files_of_lines(spark, tmp_path, size):
+    import gzip
+
+    lines = [f"line {i}" if i % 7 else "" for i in range(400)] + ["last\rone"]
+    text = "\n".join(lines)
+    (tmp_path / "a.txt").write_text(text)
+    with gzip.open(tmp_path / "b.txt.gz", "wt", newline="") as f:
+        f.write(text + "\n")
+    (tmp_path / "none.txt").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size * 10)
+    try:
+        for name in ("a.txt", "b.txt.gz"):
+            got = {r["line_no"]: r["line"] for r in read_lines(spark, f"file://{tmp_path}/{name}").collect()}
+            assert got == dict(enumerate(lines, 1))
+        assert read_lines(spark, f"file://{tmp_path}/none.txt").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_byte_distance():
+    rng = random.Random(5)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for n in [0, 1, 2, 3, 8, 63, 64, 65, 130] * 6:
+        a, b = (bytes(rng.choice(b"abc") for _ in range(rng.randrange(n + 1))) for _ in range(2))
+        assert char_distance(a, b) == plain(a, b)
+
+
+@pytest.mark.parametrize("costs", [EditCosts(1, 1, 1), EditCosts(1, 0.5, 1.25), EditCosts(1, 0, 1)])
+def test_costs_stop_early_only_above_the_bound(costs):
+    rng = random.Random(8)
+    pairs = [[[rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40))] for _ in range(2)] for _ in range(300)]
+    pairs += [(x, x[:-1] + ["z"]) for x, _ in pairs[:40]]
+    q, s = (pa.array([p[k] for p in pairs], pa.list_(pa.string())) for k in (0, 1))
+    none = pa.nulls(len(pairs), pa.list_(pa.string()))
+    full, part = edit_costs(q, none, none, s, none, none, costs), edit_costs(q, none, none, s, none, none, costs, most=10.0)
+    low = full <= 10
+    assert (part[low] == full[low]).all() and low.any() and np.isinf(part).any() and ((part == full) | np.isinf(part)).all()
+
+
+def test_places_beyond_a_million(spark):
+    """Common runs late in a long query."""
+    codes = [(-3 << 32) + 1_100_005, (-3 << 32) + 1_100_006, (7 << 32) + 2_000_000_000]
+    rows = spark.createDataFrame([(codes,)], "codes array<long>").select(F.explode(candidates.islands(F.col("codes"), F.lit(3)))).collect()
+    assert {tuple(r[0]) for r in rows} == {(1_100_005, 1_100_002, 4), (2_000_000_000, 2_000_000_007, 3)}
+
+
+def test_queries_of_one_token(spark):
+    """A single token is a run for itself, whatever the options say."""
+    index = indexed(spark, [["a"], ["a", "b"], ["b"], ["a"]], tokenizer="sql")
+    q = spark.createDataFrame([(0, "a"), (1, "c"), (2, "b")], "q_id long, text string")
+    for o in (MatchOptions(fuzzy=1.0, min_run=3), MatchOptions(fuzzy=1.0, min_run=3, min_ratio=1.0)):
+        assert sorted((r["q_id"], r["s_id"]) for r in match(q, index, o).collect()) == [(0, 0), (0, 3), (2, 2)]
+
+
+def test_cover_of_cheap_edits(spark):
+    """Where insert + delete < replace, no segment above the threshold is lost to the bound."""
+    lists, c = corpus(41), EditCosts(0.5, 0.25, 1.5)
+    index = indexed(spark, lists, tokenizer="sql")
+    for k, query in enumerate(corpus(42, 6)):
+        q = spark.createDataFrame([(k, " ".join(query))], "q_id long, text string")
+        got = {r["s_id"] for r in match(q, index, MatchOptions(fuzzy=0.4, n=0, min_run=2, min_ratio=0, costs=c)).collect()}
+        want = {i for i, s in enumerate(lists) if longest(query, s) >= min(2, len(query)) and int(f32(10000) - brute_cost(s, query, c) * f32(100)) / 10000 >= 0.4}
+        assert got == want
+
+
 def test_stream(spark, tmp_path):
     lists = corpus(30)
     index = indexed(spark, lists, tokenizer="sql")
@@ -223,7 +321,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert run(spark, ["-a", "subseq", "-i", ix, "-q", q]) == 0
     assert capsys.readouterr().out == "0.75\t3\t1=one\taa bb cc\n\n1\t4\t1=one\taa bb cc dd\n"
     assert run(spark, ["-a", "dump", "-i", ix]) == 0
-    assert len(capsys.readouterr().out.splitlines()) == 8
+    dump = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
+    assert len(dump) == 8 + 9 and [x for x in dump[8:] if x[0] == "cc"] == [["cc", "1", "0", "3"], ["cc", "2", "1", "3"]]
+    (tmp_path / "own.conf").write_text("# options\nfuzzy = 0.7\nno-perfect=true\naction=index\n")
+    assert run(spark, ["-a", "match", "-i", ix, "-q", q, "--config", f"{tmp_path}/own.conf"]) == 0
+    assert capsys.readouterr().out == "0.75\t1=one\t0.75\t2=two\n\n0.75\t2=two\n"
+    (tmp_path / "bad.conf").write_text("fuzzy\n")
+    assert run(spark, ["-a", "match", "-i", ix, "--config", f"{tmp_path}/bad.conf"]) == 1
     assert run(spark, ["-a", "match", "--penalty-tokens", "sep,jnr", "-i", ix]) == 1
     assert run(spark, ["-a", "match"]) == 3
 
