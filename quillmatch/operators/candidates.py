@@ -35,7 +35,7 @@ def hits(queries: DataFrame, index: Index, broadcast_grams: int, near: Column |
     levels, total = [r["k"] for r in sizes] or [LEVELS[0]], sum(r["n"] for r in sizes)
     one = q.select("q_id", "p", "k", F.posexplode(grams(F.col("norm"), F.col("k"))).alias("q_pos", "gram"))
     # the runs of a length are in a table of their own, so that only lengths that are looked up are read
-    each = [index.grams(k).join(F.broadcast(own) if total <= broadcast_grams else own, "gram") for k in sorted(levels) for own in (one.where(F.col("k") == k),)]
+    each = [runs.join(F.broadcast(own) if total <= broadcast_grams else own, "gram") for k, runs in index.all_grams(sorted(levels)).items() for own in (one.where(F.col("k") == k),)]
     both = reduce(DataFrame.unionByName, each)
     if near is not None:
         both = both.where(near)

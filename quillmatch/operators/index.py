@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
@@ -41,6 +42,11 @@ class Index:
             self.found[k] = bucketed(self.spark, at) if written(self.spark, at) else write_grams(self.forms, k, at if not self.loaded else f"{new_folder(self.spark, 'grams')}-{k}")
         return self.found[k]
 
+    def all_grams(self, levels: list[int]) -> dict[int, DataFrame]:
+        """The tables of some lengths; those that aren't there yet are written side by side."""
+        with ThreadPoolExecutor(4) as pool:
+            return dict(zip(levels, pool.map(self.grams, levels)))
+
     @cached_property
     def n_segments(self) -> int:
         return self.segments.count()
@@ -60,8 +66,9 @@ def written(spark: SparkSession, path: str) -> bool:
 
 
 def grams(norm: Column, k: Column) -> Column:
-    """Hashes of all runs of k tokens, in order."""
-    return F.when(F.size(norm) >= k, F.transform(F.sequence(F.lit(1), F.size(norm) - k + 1), lambda i: F.xxhash64(F.slice(norm, i, k))))
+    """Hashes of all runs of k tokens, in order; tokens are hashed once, whatever the length of runs."""
+    runs = F.transform(F.array(F.transform(norm, lambda w: F.xxhash64(w))), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - k + 1), lambda i: F.xxhash64(F.slice(h, i, k))))
+    return F.when(F.size(norm) >= k, runs[0])
 
 
 def write_grams(forms: DataFrame, k: int, path: str) -> DataFrame:
