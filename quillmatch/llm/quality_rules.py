@@ -8,8 +8,8 @@ Features: words and punctuation runs, their bigrams, and trigrams of word shapes
 repetition of the word before).
 
 * Both multinomials cover all rows. Labels, which grow with the corpus, are joined by shuffle.
-* Without an explicit threshold it is fitted: of the cuts between scores of at most `max_labelled` labelled rows of each class (lowest MD5 of the
-  id), the one that keeps at least `keep_rate` of the trusted rows and rejects most others.
+* Without an explicit threshold it is fitted: of the cuts between scores of all rows labelled 0 or 1, the one that keeps at least `keep_rate` of the trusted
+  rows and rejects most others. Scores are sorted by range, and each task's best cut goes to the driver.
 * Null, empty and blank texts have no features: score null, keep false.
 * An id with two labels counts by its lowest. Repeated rows each get the same decision. doc_id may have any type. Without trusted rows the score is 0 and all other documents stay.
 * Further columns are ignored by score() and passed through untouched by keep_documents().
@@ -22,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import CLASS, gram, id_type, mix, read_table, runs, span_hash, texts, tidy, utf8
+from quillmatch.llm.common import CLASS, Scratch, gram, id_type, mix, read_table, runs, span_hash, texts, tidy, utf8
+from quillmatch.operators.numbering import tasks
 
 _U = np.uint64
 
@@ -33,7 +34,6 @@ _U = np.uint64
 @dataclass(frozen=True)
 class Params:
     buckets: int = 1 << 16
-    max_labelled: int = 5000
     smoothing: float = 1.0
     keep_rate: float = 0.998
     threshold: float | None = None
@@ -132,6 +132,26 @@ def fit_threshold(score: np.ndarray, good: np.ndarray, keep_rate: float) -> floa
     return float(s[0] - 1 if best == 0 else (s[best] + s[best - 1]) / 2)
 
 
+def best_cut(rows: DataFrame, keep_rate: float, scratch: Scratch) -> float:
+    """fit_threshold() of a table of any size: score, quality (0 or 1)."""
+    counts = rows.groupBy("score").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
+    placed = scratch.keep(counts.repartitionByRange(tasks(rows), "score").withColumn("part", F.spark_partition_id()))  # written, so that a lost executor can't change the places
+    parts = placed.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("score").alias("last"))
+    good, bad, least = placed.agg(F.sum("good"), F.sum("bad"), F.min(F.when(F.col("good") > 0, F.col("score")))).first()
+    if not good or not bad:
+        out = least - 1.0 if good else -np.inf
+    else:
+        up, own = Window.orderBy("part"), Window.partitionBy("part").orderBy("score")
+        before = lambda k, w: F.coalesce(F.sum(k).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        base = parts.select("part", before("good", up).alias("lost0"), before("bad", up).alias("caught0"), F.lag("last").over(up).alias("end"))
+        cuts = placed.join(F.broadcast(base), "part").select("score", (F.col("lost0") + before("good", own)).alias("lost"), (F.col("caught0") + before("bad", own)).alias("caught"), F.coalesce(F.lag("score").over(own), "end").alias("below"))
+        gain = F.col("caught") / F.lit(bad) - F.col("lost") / F.lit(good)
+        s, below = cuts.where(F.col("lost") <= F.lit((1 - keep_rate) * good)).orderBy(gain.desc(), "score").select("score", "below").first()
+        out = s - 1 if below is None else (s + below) / 2
+    scratch.drop(placed)
+    return float(out)
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     own = docs.select("doc_id", "text")
     named, nameless = own.where("doc_id is not null"), own.where("doc_id is null")  # apart, so that a join by shuffle doesn't put all of these in one task
@@ -151,12 +171,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Params = Par
     def run(batches):
         for b in batches:
             s, n = scores(b.column("text"), shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n), b.column("quality").cast(pa.int32()), b.column("place")], ["score", "n", "quality", "place"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"]).filter(pa.array(n > 0))
 
-    few = own.join(F.broadcast(labelled_ids(labels, p.max_labelled)), "doc_id").select("text", "quality", F.concat(F.md5(F.col("doc_id").cast("string")), F.md5("text")).alias("place"))
-    seen = few.mapInArrow(run, "score double, n long, quality int, place string").where("n > 0")
-    seen = at_most(seen, p.max_labelled, "place", "score").toPandas()
-    return Model(ratio, fit_threshold(seen["score"].to_numpy(), seen["quality"].to_numpy() == 1, p.keep_rate))
+    seen = named.mapInArrow(run, f"doc_id {id_type(docs, 'doc_id')}, score double")  # every row is scored, so that ids and scores are joined with labels, not texts
+    seen = seen.join(labelled(labels).where("quality in (0, 1)").hint("merge"), "doc_id").select("score", "quality")
+    return Model(ratio, best_cut(seen, p.keep_rate, Scratch(spark)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -193,4 +212,4 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(spark, docs, read_table(spark, sf_dir, "labels")))
 
 
-__all__ = ["Params", "Model", "features", "fit", "fit_threshold", "at_most", "keep_documents", "labelled_ids", "score", "scores", "op7_quality_rules", "utf8"]
+__all__ = ["Params", "Model", "best_cut", "features", "fit", "fit_threshold", "at_most", "keep_documents", "labelled_ids", "score", "scores", "op7_quality_rules", "utf8"]

@@ -533,6 +533,30 @@ def test_threshold():
     assert qr.fit_threshold(s, ~good, 1.0) < 0.1 and qr.fit_threshold(s, np.zeros(4, bool), 1.0) == -np.inf
 
 
+def test_best_cut_is_fit_threshold(spark):
+    """Ties, scores of one class only, and all rates, over several tasks; without one of the classes too."""
+    rng = np.random.default_rng(11)
+    for size, of, keep in ((3000, 400, 0.998), (3000, 3000, 0.95), (500, 40, 1.0), (40, 3, 0.5), (1, 1, 0.998), (0, 1, 0.998)):
+        good = rng.random(size) < 0.5
+        s = np.round((rng.integers(0, of, size) + good * of / 3) / of - 0.4, 9)
+        for g in (good, np.ones(size, bool), np.zeros(size, bool)):
+            rows = spark.createDataFrame([(float(x), int(y)) for x, y in zip(s, g)], "score double, quality int").repartition(3)
+            assert qr.best_cut(rows, keep, Scratch(spark)) == qr.fit_threshold(s, g, keep), (size, of, keep)
+
+
+def test_threshold_is_of_all_labelled_rows(spark):
+    """More than 5,000 rows of each class, repeated ids among them; rows without a label, an id, words or a quality of 0 or 1 have no say."""
+    rng = random.Random(12)
+    docs = [(i // 2 if i < 200 else i, " ".join(words(rng, 8, 12 if i % 2 else 16))) for i in range(13_000)] + [(None, "w1 w2 w1"), (20_000, "w15 w15"), (20_001, " "), (20_002, "w15 w14")]
+    labels = [(i, i % 2) for i in range(13_000)] + [(20_001, 0), (20_002, 2), (None, 1)]
+    p = qr.Params(buckets=512)
+    m = qr.fit(spark, spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int"), p)
+    quality = dict(labels)
+    known = [(t, quality[d]) for d, t in docs if d is not None and quality.get(d) in (0, 1) and t.strip()]
+    score, _ = qr.scores(pa.array([t for t, _ in known]), m.ratio)
+    assert m.threshold == qr.fit_threshold(score, np.array([q == 1 for _, q in known]), p.keep_rate)
+
+
 # 8. Language ID
 
 
