@@ -32,6 +32,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of each group of near duplicates the first document stays.
 
     Texts are compared as they are in documents, before lines were cut out of them: of two near copies the second has lost the lines that it shares with the first.
+    The documents left are then compared by what they hold: two may be near copies but for lines that were cut out.
     """
     return near_dup.keep_documents(docs, Scratch(spark), whole=read_table(spark, sf_dir, "documents"))
 

@@ -282,10 +282,12 @@ def prints_of(docs: DataFrame, scratch: Scratch, whole: DataFrame | None) -> Dat
     return scratch.keep(known.unionByName(fingerprint_table(rest)))
 
 
-def grouped(docs: DataFrame, scratch: Scratch, p: Params = Params(), whole: DataFrame | None = None) -> DataFrame:
-    """d, th of every document that isn't the first of its group, with the d and th of that one (first)."""
+def grouped(docs: DataFrame, scratch: Scratch, p: Params = Params(), whole: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """d, th of every document that isn't the first of its group, with the d and th of that one (first). Documents in `gone` (d, th) are in no group."""
     checked_id(docs, "doc_id")
     prints = prints_of(docs, scratch, whole)
+    if gone is not None:
+        prints = scratch.keep(prints.join(gone.hint("merge"), ["d", "th"], "left_anti"))
     points = scratch.keep(prints.groupBy("hi", "lo").agg(F.min(F.struct("d", "th")).alias("first"), F.max(F.struct("d", "th")).alias("last")))
     how = plan(points.count(), p)
     roots = components(links(points.select("hi", "lo"), how, p, scratch), scratch)
@@ -306,8 +308,13 @@ def duplicates(docs: DataFrame, scratch: Scratch, p: Params = Params(), whole: D
 
 
 def keep_documents(docs: DataFrame, scratch: Scratch, p: Params = Params(), whole: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns. `whole` (doc_id, text) has the texts to compare, for documents of which parts were cut out."""
+    """The rows of docs that stay, with all their columns.
+
+    `whole` (doc_id, text) has the uncut texts of documents of which parts were cut out: these are compared first, and then, of the documents left, the texts that docs has.
+    """
     gone = grouped(docs, scratch, p, whole).select("d", "th")
+    if whole is not None:
+        gone = gone.unionByName(grouped(docs, Scratch(docs.sparkSession), p, gone=gone).select("d", "th"))
     return docs.select(F.struct("*").alias("row"), *_keys()).join(gone.hint("merge"), ["d", "th"], "left_anti").select("row.*")
 
 

@@ -104,6 +104,21 @@ def test_near_copies_that_lost_their_lines(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([docs[0], *docs[2:], (0, "another last line of this one")])
 
 
+def test_near_copies_but_for_lines_cut_out(spark, tmp_path):
+    """Two documents with near bodies and other repeated lines, and one that only shares a near copy's lines: the stage sees what was cut."""
+    rng = np.random.default_rng(3)
+    lines = lambda n: [" ".join(f"w{k}" for k in rng.integers(0, 5000, 40)) for _ in range(n)]
+    one, two, body, other = lines(10), lines(10), lines(20), lines(20)
+    near = [x.rsplit(" ", 1)[0] + f" x{i}" for i, x in enumerate(body)]
+    docs = [(0, one), (1, two), (2, one + body), (3, two + near), (4, two + other)]
+    spark.createDataFrame([(d, "\n".join(x)) for d, x in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    stages, whole = dict(corpus_pipeline.STAGES), read_table(spark, str(tmp_path), "documents")
+    assert near_dup.duplicates(whole, Scratch(spark)).count() == 0
+    cut = Scratch(spark).keep(stages["line_dedup"](spark, whole, str(tmp_path)))
+    assert {r["doc_id"]: r["text"] for r in cut.collect()}[3] == "\n".join(near)
+    assert {r["doc_id"] for r in stages["near_dedup"](spark, cut, str(tmp_path)).collect()} == {0, 1, 2, 4}
+
+
 @pytest.mark.parametrize("some", [True, False])
 def test_awkward_documents(spark, some):
     docs = spark.createDataFrame(rows() if some else [], SCHEMA)
