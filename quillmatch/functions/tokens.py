@@ -43,15 +43,9 @@ def is_punctuation(token: Column) -> Column:
 
 
 def strip_punctuation(found: Column) -> Column:
-    """norm: the tokens that are no punctuation; itoks: what was dropped before each of them, and last what trails."""
-    start = F.struct(F.array().cast("array<string>").alias("norm"), F.array().cast("array<string>").alias("itoks"), F.lit("").alias("open"))
-
-    def step(a: Column, t: Column) -> Column:
-        drop = is_punctuation(t)
-        return F.struct(
-            F.when(drop, a["norm"]).otherwise(F.array_append(a["norm"], t)).alias("norm"),
-            F.when(drop, a["itoks"]).otherwise(F.array_append(a["itoks"], a["open"])).alias("itoks"),
-            F.when(drop, F.concat(a["open"], t)).otherwise(F.lit("")).alias("open"),
-        )
-
-    return F.aggregate(found, start, step, lambda a: F.struct(a["norm"].alias("norm"), F.array_append(a["itoks"], a["open"]).alias("itoks")))
+    """norm: the tokens that are no punctuation; itoks: what was dropped before each of them, and last what trails.
+
+    Tokens are those of tokens(), so punctuation has no space. Each token is met once, however long the line is.
+    """
+    gaps = F.array_join(F.transform(found, lambda t: F.when(is_punctuation(t), t).otherwise(" ")), "")
+    return F.struct(F.filter(found, lambda t: ~is_punctuation(t)).alias("norm"), F.split(gaps, " ", -1).alias("itoks"))
