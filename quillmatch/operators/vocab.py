@@ -13,17 +13,16 @@ UNKNOWN_ID = 1
 
 
 def words(forms: DataFrame) -> DataFrame:
-    """word, first (form, pos) and sfreq, the number of segments that have it."""
-    own = F.transform(F.array_distinct("norm"), lambda w: F.struct(w.alias("word"), F.array_position("norm", w).alias("pos")))
-    each = forms.select("form", "n", F.explode(own).alias("w")).select("form", "n", "w.word", "w.pos")
-    return each.groupBy("word").agg(F.min(F.struct("form", "pos")).alias("first"), F.sum("n").alias("sfreq"))
+    """word, form and pos, its first form and its place among the distinct words of that, and sfreq, the number of segments that have it. Plain numbers, so that no sort is needed."""
+    each = forms.select("form", "n", F.posexplode(F.array_distinct("norm")).alias("pos", "word"))
+    return each.groupBy("word").agg(F.min("form").alias("form"), F.min_by("pos", "form").alias("pos"), F.sum("n").alias("sfreq"))
 
 
 def stored(forms: DataFrame, path: str) -> DataFrame:
     """word, wid, sfreq. Words are numbered from 2 in the order in which they are first met; '' is 0 and the unknown word 1."""
     if _exists(forms, path):
         return forms.sparkSession.read.parquet(path)
-    found = words(forms).select("word", F.col("first.form").alias("form"), F.col("first.pos").alias("pos"), "sfreq")
+    found = kept(words(forms), f"{path}-found")  # read three times
     fixed = F.col("word").isin("", UNKNOWN)
     ids = numbered(found.where(~fixed), ["form", "pos"], "wid", f"{path}-words", 2).select("word", "wid", "sfreq")
     two = forms.sparkSession.createDataFrame([("", 0), (UNKNOWN, UNKNOWN_ID)], "word string, wid long").coalesce(1)
