@@ -12,7 +12,9 @@ from quillmatch.config import Analysis, EditCosts, MatchOptions, SubsequenceOpti
 from quillmatch.functions import tokens as tk
 from quillmatch.operators import scan, vocab
 from quillmatch.operators.contrast import token_steps
-from quillmatch.operators.index import build
+from quillmatch.operators.index import build, decoded
+from quillmatch.operators.sinks import suffix_order
+from quillmatch.operators.sinks import suffixes as sent
 from quillmatch.plans.search import match, subsequence
 
 
@@ -97,3 +99,31 @@ def test_words_are_counted_without_a_sort(spark):
     found = vocab.words(index.forms)
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {("b", 0, 0, 2), ("a", 0, 1, 3), ("c", 1, 0, 1)}
+
+
+def test_packed_lists_keep_their_order(spark):
+    rng = random.Random(2)
+    lists = [[rng.choice(["a", "ab", "\x00", "\x01", "\x02", "b", "é", "\x01\x02", "1"]) for _ in range(rng.randrange(1, 5))] for _ in range(200)]
+    df = spark.createDataFrame([(x,) for x in lists], "norm array<string>").withColumn("text", tk.packed(F.col("norm")))
+    rows = df.select("norm", "text", tk.unpacked(F.col("text")).alias("again")).collect()
+    assert all(r["norm"] == r["again"] for r in rows)
+    key = lambda r: [w.encode() for w in r["norm"]]
+    assert [key(r) for r in sorted(rows, key=lambda r: r["text"].encode())] == [key(r) for r in sorted(rows, key=key)]
+
+
+def test_suffixes_are_sorted_by_their_first_tokens(spark):
+    """Equal beginnings, words across many tasks, and tokens that are control characters."""
+    rng = random.Random(6)
+    lists = corpus(8, 40, 2, 30) + [["a"] * 25, ["a"] * 26, ["a", "\x01", "\x00", "a"] * 5, ["\x00"], ["a"] * 25]
+    df = spark.createDataFrame([(i, str(i), x) for i, x in enumerate(lists)], "ord long, id string, norm array<string>")
+    index = build(df, keeps=False)
+    order = sorted(((s[i:], k, i + 1) for k, s in enumerate(lists) for i in range(len(s))), key=lambda x: ([w.encode() for w in x[0]], *x[1:]))
+    seen, want = {}, set()
+    for suffix, k, pos in order:
+        seen[suffix[0]] = seen.get(suffix[0], 0) + 1
+        want.add((k, pos, suffix[0], seen[suffix[0]]))
+    found = suffix_order(index)
+    assert {tuple(r) for r in found.collect()} == want
+    moved = sent(index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in moved and "Sort" not in moved  # no suffix is sent whole
+    assert index.rows is not None and decoded(index).orderBy("s_id").first()["decoded"] == "> " + " ".join(lists[0])
